@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sparkloom.llm import components
+    from sparkloom.llm import components, formatting
 
-    return {"p1_found": components.p1_found}
+    return {"p1_found": components.p1_found, "p6_found": formatting.p6_found, "p6_kept": formatting.p6_kept}
 
 
 P1_FOUND = """
