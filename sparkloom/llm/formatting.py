@@ -21,8 +21,12 @@ from sparkloom.plans.hot import join_groups
 from sparkloom.plans.shared import Scratch
 
 MIN_FIELDS = 3
-_NAME = r"\s*[\p{L}_][\p{L}\p{N}_\- ]{0,39}?\s*"
-_FIELD = rf"^({_NAME})[:=]([\s\S]*)$"
+_NAME = r"^\s*[\p{L}_][\p{L}\p{N}_\- ]{0,39}$"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def folded(c: Column) -> Column:
@@ -30,33 +34,48 @@ def folded(c: Column) -> Column:
     return F.lower(F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")))
 
 
-def _fields(parts: Column) -> Column:
-    """name=value of every part, sorted; null unless all parts are fields."""
-    named = (F.size(parts) >= MIN_FIELDS) & F.forall(parts, lambda p: p.rlike(_FIELD))
-    return F.when(named, F.array_sort(F.transform(parts, lambda p: F.concat(folded(F.regexp_extract(p, _FIELD, 1)), F.lit("\u0001"), folded(F.regexp_extract(p, _FIELD, 2))))))
+def _named(name: Column, value: Column) -> Column:
+    return F.concat(folded(name), F.lit("\u0001"), folded(F.coalesce(value, F.lit(""))))
+
+
+def _joined(fields: Column) -> Column:
+    return F.concat(F.lit("\u0002"), F.array_join(F.array_sort(fields), "\u0002"))
+
+
+def _from_json(s: Column) -> Column:
+    parsed = F.from_json(s, "map<string,string>", {"allowUnescapedControlChars": "true", "mode": "PERMISSIVE"})
+    return _let(parsed, lambda m: F.when(F.size(m) > 0, _joined(F.transform(F.map_entries(m), lambda e: _named(e["key"], e["value"])))))
+
+
+def _from_parts(s: Column, separator: str) -> Column:
+    """The fields of the text, if every part has the form name: value."""
+    halves = F.transform(F.split(s, separator), lambda p: F.split(p, "[:=]", 2))
+    whole = lambda hs: (F.size(hs) >= MIN_FIELDS) & F.forall(hs, lambda h: (F.size(h) == 2) & h[0].rlike(_NAME))
+    return _let(halves, lambda hs: F.when(whole(hs), _joined(F.transform(hs, lambda h: _named(h[0], h[1])))))
 
 
 def canonical(text: Column) -> Column:
     """The canonical key; null without a letter or digit."""
-    s = F.regexp_replace(text, r"^[\s﻿]+|[\s﻿]+$", "")
-    as_map = F.from_json(s, "map<string,string>", {"allowUnescapedControlChars": "true", "mode": "PERMISSIVE"})
-    from_map = F.array_sort(F.transform(F.map_entries(as_map), lambda e: F.concat(folded(e["key"]), F.lit("\u0001"), folded(F.coalesce(e["value"], F.lit(""))))))
-    fields = F.coalesce(
-        F.when(s.rlike(r"^\{[\s\S]*\}$"), from_map),
-        F.when(s.contains("|"), _fields(F.split(s, r"\s*\|\s*"))),
-        F.when(s.contains("="), _fields(F.split(s, r"\s*;\s*(?=[\p{L}_][\p{L}\p{N}_\-]*\s*=)"))),
-        F.when(s.contains("\n") | s.contains("\r"), _fields(F.split(s, r"\s*[\r\n]+\s*"))),
-    )
-    plain = folded(text)
-    key = F.when(fields.isNotNull() & (F.size(fields) > 0), F.concat(F.lit("\u0002"), F.array_join(fields, "\u0002"))).otherwise(plain)
-    return F.when(plain != "", key)
+
+    def key(s: Column) -> Column:
+        fields = (
+            F.when(s.startswith("{"), F.when(s.endswith("}"), _from_json(s)))
+            .when(s.contains("|"), _from_parts(s, r"\|"))
+            .when(s.rlike(r"^[^\s=]{1,40}\s*="), _from_parts(s, r";\s*(?=[\p{L}_][\p{L}\p{N}_\-]*\s*=)"))
+            .when(s.contains("\n") | s.contains("\r"), _from_parts(s, r"[\r\n]+"))
+        )
+        return _let(fields, lambda f: F.when(f.isNotNull(), f).otherwise(F.nullif(folded(s), F.lit(""))))
+
+    return _let(F.btrim(text, F.lit(" \t\r\n\ufeff")), key)
 
 
 def keyed(df: DataFrame, id_col: str, text: Column, *extra: Column, seed: int = 0) -> DataFrame:
-    """(id, h1, h2, chk, len, extra...) of the rows that have a key."""
-    rows = df.select(F.col(id_col).alias("id"), canonical(text).alias("key"), *extra).where("key is not null and id is not null")
-    rest = [c for c in rows.columns if c not in ("id", "key")]
-    return rows.select("id", F.xxhash64(F.lit(seed), "key").alias("h1"), F.xxhash64(F.lit(seed + 1), "key").alias("h2"), F.xxhash64(F.lit(seed + 2), "key").alias("chk"), F.length("key").alias("len"), *rest)
+    """(id, h1, h2, chk, len, extra...) of the rows that have a key. The key is worked out once a row: what it is hashed to
+    goes through a generator, past which no filter or projection can move."""
+    hashes = lambda k: F.struct(*(F.xxhash64(F.lit(seed + i), k).alias(n) for i, n in enumerate(("h1", "h2", "chk"))), F.length(k).alias("len"))
+    hashed = _let(canonical(text), lambda k: F.when(k.isNotNull(), F.array(hashes(k))))
+    rows = df.select(F.col(id_col).alias("id"), *extra, F.explode(hashed).alias("k")).where("id is not null")
+    return rows.select("id", "k.h1", "k.h2", "k.chk", "k.len", *(c for c in rows.columns if c not in ("id", "k")))
 
 
 def _checked(groups: DataFrame) -> DataFrame:
