@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sparkloom.llm import components, formatting
+    from sparkloom.llm import components, formatting, lookalike, mojibake
 
-    return {"p1_found": components.p1_found, "p6_found": formatting.p6_found, "p6_kept": formatting.p6_kept}
+    return {"p1_found": components.p1_found, "p6_found": formatting.p6_found, "p6_kept": formatting.p6_kept, "p3_found": lookalike.p3_found, "p3_forms": lookalike.p3_forms, "p9_found": mojibake.p9_found, "p9_restored": mojibake.p9_restored}
 
 
 P1_FOUND = """
