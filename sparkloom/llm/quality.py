@@ -99,6 +99,12 @@ def _inline(s: str) -> bool:
     return best >= 3
 
 
+def _item(s: str) -> bool:
+    """A marked item; a whole sentence behind a mark is running text (speech is marked so)."""
+    m = _MARK.match(s)
+    return bool(m) and not (_SENTENCE_END.search(m.group(1)) and len(m.group(1).split()) >= 5)
+
+
 def _split(text: str) -> tuple[dict[str, int], str]:
     """Characters by kind, and the running text."""
     w = {"list": 0, "table": 0}
@@ -121,20 +127,19 @@ def _split(text: str) -> tuple[dict[str, int], str]:
             w["table"] += _weight(s)
             k += 1
             continue
-        m = _MARK.match(s)
         if _inline(s):
             w["list"] += _weight(s)
         elif _LEADER.search(s):
             w["list"] += _weight(s)
-        elif m and not (_SENTENCE_END.search(m.group(1)) and len(m.group(1).split()) >= 5):
+        elif _item(s):
             w["list"] += _weight(s)
         elif re.match(r"\s*#{1,6}\s", s):
             pass  # headings count for no side
         elif s.rstrip().endswith((":", "：")) and len(s.split()) <= 6:
             pass
         else:
-            j = k
-            while j < len(lines) and not row[j] and not _MARK.match(lines[j]) and not _LEADER.search(lines[j]) and not _inline(lines[j]):
+            j = k + 1
+            while j < len(lines) and not row[j] and not _item(lines[j]) and not _LEADER.search(lines[j]) and not _inline(lines[j]):
                 j += 1
             run = lines[k:j]
             words = [len(x.split()) for x in run]
