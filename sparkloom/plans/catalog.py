@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from sparkloom.operators import exact
+
+    return {"text_dedup_exact": exact.text_dedup_exact}
 
 
 def oracle_sql() -> dict[str, str]:
