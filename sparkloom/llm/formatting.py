@@ -5,7 +5,7 @@ hash the key to 128 bits, and count copies by hash with map-side combining. Ever
 64-bit hash and the key's length; a group in which these differ is a collision and stops the query
 (a run with another ``seed`` then decides it), so two contents can never be merged.
 
-All expressions are Spark's own, so nothing leaves the JVM.
+All expressions are Spark's own; only texts with combining marks or conjoining jamo leave the JVM, to be composed.
 
 * Null texts and texts without a letter or digit have no key and are in no group.
 * An id that is delivered again counts once. Ties: the least id by bytes is kept.
@@ -15,12 +15,19 @@ All expressions are Spark's own, so nothing leaves the JVM.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.plans.hot import join_groups
 from sparkloom.plans.shared import Scratch
 
 MIN_FIELDS = 3
+#: Full-width letters and digits. Other compatibility forms stay: by NFKC ½ would meet 12.
+_WIDE = "".join(chr(k + 0xFEE0) for k in range(0x30, 0x7B) if chr(k).isalnum())
+_NARROW = "".join(chr(k) for k in range(0x30, 0x7B) if chr(k).isalnum())
+#: Texts that composition can change: with combining marks or conjoining jamo.
+_LOOSE = r"[\p{M}\x{1100}-\x{11FF}]"
 _NAME = r"^\s*[\p{L}_][\p{L}\p{N}_\- ]{0,39}$"
 
 
@@ -30,8 +37,9 @@ def _let(value: Column, body) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Letters and digits in full case folding: upper case first, so that ß meets SS."""
-    return F.lower(F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")))
+    """Letters (with their marks) and digits in full case folding: upper case first, so that ß meets SS. Variation selectors are no marks."""
+    plain = F.translate(c, _WIDE, _NARROW)
+    return F.lower(F.upper(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}]+|[\x{FE00}-\x{FE0F}]+", "")))
 
 
 def _named(name: Column, value: Column) -> Column:
@@ -58,23 +66,36 @@ def canonical(text: Column) -> Column:
     """The canonical key; null without a letter or digit."""
 
     def key(s: Column) -> Column:
-        fields = (
-            F.when(s.startswith("{"), F.when(s.endswith("}"), _from_json(s)))
-            .when(s.contains("|"), _from_parts(s, r"\|"))
-            .when(s.rlike(r"^[^\s=]{1,40}\s*="), _from_parts(s, r";\s*(?=[\p{L}_][\p{L}\p{N}_\-]*\s*=)"))
-            .when(s.contains("\n") | s.contains("\r"), _from_parts(s, r"[\r\n]+"))
+        fields = F.coalesce(
+            F.when(s.startswith("{") & s.endswith("}"), _from_json(s)),
+            F.when(s.contains("|"), _from_parts(s, r"\|")),
+            F.when(s.rlike(r"^[^\s=]{1,40}\s*="), _from_parts(s, r";\s*(?=[\p{L}_][\p{L}\p{N}_\-]*\s*=)")),
+            F.when(s.contains("\n") | s.contains("\r"), _from_parts(s, r"[\r\n]+")),
         )
         return _let(fields, lambda f: F.when(f.isNotNull(), f).otherwise(F.nullif(folded(s), F.lit(""))))
 
     return _let(F.btrim(text, F.lit(" \t\r\n\ufeff")), key)
 
 
+def composed(rows: DataFrame) -> DataFrame:
+    """rows with ``text`` in composed form (NFC); only texts that it can change leave the JVM."""
+
+    def run(it):
+        for pdf in it:
+            pdf["text"] = [unicodedata.normalize("NFC", t) for t in pdf["text"]]
+            yield pdf
+
+    loose = F.coalesce(F.col("text").rlike(_LOOSE), F.lit(False))
+    return rows.where(~loose).unionByName(rows.where(loose).mapInPandas(run, rows.schema))
+
+
 def keyed(df: DataFrame, id_col: str, text: Column, *extra: Column, seed: int = 0) -> DataFrame:
     """(id, h1, h2, chk, len, extra...) of the rows that have a key. The key is worked out once a row: what it is hashed to
     goes through a generator, past which no filter or projection can move."""
     hashes = lambda k: F.struct(*(F.xxhash64(F.lit(seed + i), k).alias(n) for i, n in enumerate(("h1", "h2", "chk"))), F.length(k).alias("len"))
-    hashed = _let(canonical(text), lambda k: F.when(k.isNotNull(), F.array(hashes(k))))
-    rows = df.select(F.col(id_col).alias("id"), *extra, F.explode(hashed).alias("k")).where("id is not null")
+    df = composed(df.select(F.col(id_col).alias("id"), text.alias("text"), *extra))
+    hashed = _let(canonical(F.col("text")), lambda k: F.when(k.isNotNull(), F.array(hashes(k))))
+    rows = df.select(*(c for c in df.columns if c != "text"), F.explode(hashed).alias("k")).where("id is not null")
     return rows.select("id", "k.h1", "k.h2", "k.chk", "k.len", *(c for c in rows.columns if c not in ("id", "k")))
 
 

@@ -1,0 +1,14 @@
+from pyspark.sql import functions as F
+
+from sparkloom.llm.formatting import copies
+from sparkloom.session import build
+
+
+def test_characters_and_notations():
+    spark = build("local[4]", spark_sql_shuffle_partitions="8")
+    rows = [
+        ("a1", "Le café ferme"), ("a2", "le cafe\u0301 FERME!"), ("a3", "le cafe ferme"), ("w1", "ABC 12"), ("w2", "ＡＢＣ １２"), ("h1", "take ½"), ("h2", "take 12"),
+        ("e1", "x = one\ny = two\nz = three"), ("e2", "z = three\nx = one\ny = two"), ("p1", "x: a|b\ny: two\nz: three"), ("p2", "y: two\nx: a|b\nz: three"),
+    ]
+    got = {(r.id, r.keep_id) for r in copies(spark.createDataFrame(rows, "id string, text string"), "id", F.col("text")).collect()}
+    assert got == {("a1", "a1"), ("a2", "a1"), ("w1", "w1"), ("w2", "w1"), ("e1", "e1"), ("e2", "e1"), ("p1", "p1"), ("p2", "p1")}
