@@ -2,7 +2,8 @@
 
 Iterative operators write a round's table as Parquet under ``spark.checkpoint.dir`` and read it back: the
 lineage ends there, the data survive the loss of any executor, and a later round reads only the columns
-it needs. The folder is the cluster's; only where the session names none (tests) a local one is set.
+it needs. The folder is the cluster's. Only a session in one process (master ``local``) may name none: it gets a folder
+of its own. Anywhere else that is an error, for executors would write to disks that the others cannot read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ def scratch_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -39,7 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.kept: dict[int, tuple[DataFrame, str]] = {}  # the DataFrame is held, so that its id stays its own
         self.n = 0
         atexit.register(self._at_exit)
 
@@ -54,10 +58,10 @@ class Scratch:
         path = f"{self.base}/{self.n:04d}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.kept[id(out)] = (out, path)
         return out
 
     def drop(self, df: DataFrame | None) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            remove(self.spark, path)
+        held = self.kept.pop(id(df), None)
+        if held:
+            remove(self.spark, held[1])
