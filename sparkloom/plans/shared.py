@@ -59,6 +59,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept[id(out)] = (out, path)
+        self.spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
         return out
 
     def drop(self, df: DataFrame | None) -> None:
