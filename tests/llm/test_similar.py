@@ -7,13 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from sparkloom.llm import similar
 from sparkloom.llm.similar import similar_pairs
-from sparkloom.session import build
-
-
-@pytest.fixture(scope="module")
-def spark():
-    return build("local[4]", spark_sql_shuffle_partitions="8")
 
 
 def brute(rows):
@@ -39,3 +34,22 @@ def test_every_pair_and_no_other(spark):
 def test_p4_found_on_the_smoke_table(spark):
     rows = {(r.id, r.text) for r in spark.read.parquet(f"{e.SMOKE_DIR}/dedup_input.parquet").select("id", F.col("payload.text").alias("text")).collect()}
     assert {tuple(r) for r in e.queries()["p4_found"](spark, e.SMOKE_DIR).collect()} == brute(rows)
+
+
+def test_keys_that_many_sets_share_become_tiles(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", 400)
+    rng = random.Random(5)
+    rows = [(f"t{k}", " ".join(["the", "same", "long", "opening", "of", "all", "texts"] + rng.sample(["a", "b", "c", "d"], 2))) for k in range(150)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_empty_table_and_one_word_sets(spark):
+    assert found(spark, [("a", None), ("b", "")]) == set()
+    assert found(spark, [("a", "one"), ("b", "ONE."), ("c", "two"), ("d", "one two")]) == {("a", "b")}
+    assert similar_pairs(spark.createDataFrame([], "id string, text string, a string, rid long, w string"), "id", F.col("text")).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = [f"w{k}" for k in range(3000)]
+    rows = [("a", " ".join(long)), ("b", " ".join(long[:2200])), ("c", " ".join(long[:2099])), ("d", " ".join(long[900:]))]
+    assert found(spark, rows) == brute(rows)
