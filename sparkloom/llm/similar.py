@@ -8,8 +8,8 @@ the segments it granted steps to, less one word where it granted two.
 
 * Allocation by cost: a step costs the signatures it adds and the sets it will meet by chance (frequencies of its words), and the H + 1 cheapest steps
   are taken. The choice costs or saves candidates, never pairs.
-* Signatures travel as blocks: sorted 32-bit keys as differences, local row numbers and, once a row and block, the size and a 64-bit parity
-  sketch. The sketches of two sets differ in no more bits than the sets do in words, so what differs in more than H bits is dropped
+* Signatures travel as blocks: sorted 24-bit keys within a bucket as differences, local row numbers and, once a row and block, the size and a 128-bit
+  parity sketch. The sketches of two sets differ in no more bits than the sets do in words, so what differs in more than H bits is dropped
   where it meets; the rest is verified on the words themselves.
 * A key that many sets share is cut into tiles, which are spread over the tasks.
 * Equal word sets are worked on once and spread to their ids by joins at the end; no group is gathered in one row.
@@ -35,7 +35,7 @@ BAND = 1.43
 #: Segments for each step to be granted: 0.5 would leave no choice between them.
 SPARE = 0.6
 #: Cost of a signature, in sets met by chance.
-SIGNATURE = 0.1
+SIGNATURE = 2.0
 #: Sets of a block, and meetings of one key in a tile.
 BLOCK, TILE = 20_000, 4_000_000
 #: Signatures of a bucket, about; sets the number of buckets by the number of sets.
@@ -89,8 +89,9 @@ class _Sets:
         self.size = np.array([len(w) for w in words], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.h = np.concatenate(words).astype(np.int64).view(np.uint64)
-        bit = np.left_shift(np.uint64(1), _mix(self.h + np.uint64(77)) >> np.uint64(58))
-        self.sketch = np.bitwise_xor.reduceat(bit, self.start[:-1])
+        place = _mix(self.h + np.uint64(77)) >> np.uint64(57)
+        bit = np.left_shift(np.uint64(1), place & np.uint64(63))
+        self.sketch = [np.bitwise_xor.reduceat(np.where((place >> np.uint64(6)) == np.uint64(k), bit, np.uint64(0)), self.start[:-1]) for k in (0, 1)]
 
     def flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, position in h) of every word of the rows."""
@@ -163,7 +164,8 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
-BLOCKS = "bucket int, kind int, rid binary, size binary, sketch binary, key binary, own binary"
+BLOCKS = "bucket int, rid binary, size binary, sketch array<binary>, key array<binary>, own array<binary>"
+KEY_BITS = 24
 
 
 def _blocks(hot: dict[int, float], rare: float, total: int, buckets: int):
@@ -178,28 +180,31 @@ def _blocks(hot: dict[int, float], rare: float, total: int, buckets: int):
 
     def blocks(rid: np.ndarray, words: list[np.ndarray]):
         sets = _Sets(words)
-        signatures: dict[int, list] = {}
+        parts: list[list] = [[] for _ in range(5)]
         for kind, key, own in (*_index(sets), *_look_up(sets, weights(sets.h.view(np.int64)), total)):
-            signatures.setdefault(kind, []).append((key, own))
-        for kind, parts in signatures.items():
-            key, own = np.concatenate([k for k, _ in parts]), np.concatenate([o for _, o in parts])
+            parts[kind].append((key, own))
+        sorted_ = []
+        for p in parts:
+            key, own = (np.concatenate(x) for x in zip(*p)) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            short = (key >> np.uint64(32)).astype(np.uint32)
+            short = (key >> np.uint64(64 - KEY_BITS)).astype(np.uint32)
             order = np.lexsort((short, bucket))
-            bucket, short, own = bucket[order], short[order], own[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                k, o = short[cuts[b] : cuts[b + 1]], own[cuts[b] : cuts[b + 1]]
-                here, o = np.unique(o, return_inverse=True)
-                yield b, kind, rid[here], sets.size[here], sets.sketch[here], k, o.astype(np.uint16)
+            sorted_.append((np.searchsorted(bucket[order], np.arange(buckets + 1)), short[order], own[order]))
+        for b in range(buckets):
+            own = [o[cut[b] : cut[b + 1]] for cut, _, o in sorted_]
+            here = np.unique(np.concatenate(own))
+            if len(here):
+                keys = [_pack(np.diff(k[cut[b] : cut[b + 1]], prepend=np.uint32(0))) for cut, k, _ in sorted_]
+                own = [_pack(np.searchsorted(here, o).astype(np.uint16)) for o in own]
+                yield b, _pack(np.diff(rid[here], prepend=0)), _pack(sets.size[here].astype(np.uint32)), [_pack(x[here]) for x in sets.sketch], keys, own
 
     def run(it):
         rids, words = [], []
 
         def flush():
-            rows = [(b, kind, _pack(np.diff(r, prepend=0)), _pack(s.astype(np.uint32)), _pack(x), _pack(np.diff(k, prepend=np.uint32(0))), _pack(o)) for b, kind, r, s, x, k, o in blocks(np.array(rids, np.int64), words)]
+            rows = list(blocks(np.array(rids, np.int64), words))
             for a in range(0, len(rows), 500):
-                yield pd.DataFrame(rows[a : a + 500], columns=["bucket", "kind", "rid", "size", "sketch", "key", "own"])
+                yield pd.DataFrame(rows[a : a + 500], columns=["bucket", "rid", "size", "sketch", "key", "own"])
 
         for pdf in it:
             for r, h in zip(pdf["rid"], pdf["h"]):
@@ -214,32 +219,31 @@ def _blocks(hot: dict[int, float], rare: float, total: int, buckets: int):
     return run
 
 
-def _fit(ra, sa, xa, rb, sb, xb) -> tuple[np.ndarray, np.ndarray]:
+def _fit(ra, sa, x0, x1, rb, sb, y0, y1) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that size and sketch let pass; a is the smaller, ties by rid."""
-    ok = (sa <= sb) & (10 * sa >= 7 * sb) & ((sa < sb) | (ra < rb))
-    n = sa + sb
-    apart = n - 2 * -(-7 * n // 17)
-    ok &= np.bitwise_count(xa ^ xb) <= apart
+    ok = np.flatnonzero((sa <= sb) & (10 * sa >= 7 * sb) & ((sa < sb) | (ra < rb)))
+    n = (sa + sb)[ok]
+    differ = np.bitwise_count(x0[ok] ^ y0[ok]).astype(np.int64) + np.bitwise_count(x1[ok] ^ y1[ok])
+    ok = ok[differ <= n - 2 * -(-7 * n // 17)]
     return ra[ok], rb[ok]
 
 
 class _Side:
     def __init__(self):
-        self.key, self.rid, self.size, self.sketch = [], [], [], []
+        self.key, self.rid, self.size, self.sketch = [], [], [], ([], [])
 
-    def add(self, r) -> None:
-        own = _unpack(r.own, np.uint16)
-        self.key.append(np.cumsum(_unpack(r.key, np.uint32), dtype=np.uint32))
-        self.rid.append(np.cumsum(_unpack(r.rid, np.int64))[own])
-        self.size.append(_unpack(r.size, np.uint32).astype(np.int64)[own])
-        self.sketch.append(_unpack(r.sketch, np.uint64)[own])
+    def add(self, rid, size, sketch, key: bytes, own: bytes) -> None:
+        o = _unpack(own, np.uint16)
+        self.key.append(np.cumsum(_unpack(key, np.uint32), dtype=np.uint32))
+        self.rid.append(rid[o])
+        self.size.append(size[o])
+        for held, x in zip(self.sketch, sketch):
+            held.append(x[o])
 
     def sort(self):
-        if not self.key:
-            return None
         key = np.concatenate(self.key)
         o = np.argsort(key, kind="stable")
-        return key[o], np.concatenate(self.rid)[o], np.concatenate(self.size)[o], np.concatenate(self.sketch)[o]
+        return key[o], *(np.concatenate(x)[o] for x in (self.rid, self.size, *self.sketch))
 
 
 def _meet(index, probe):
@@ -252,7 +256,7 @@ def _meet(index, probe):
     if not len(live):
         return
     wanted, a, n, p = wanted[live], a[live], n[live], [x[live] for x in p]
-    first = np.flatnonzero(np.diff(wanted, prepend=wanted[0] + np.uint32(1)))
+    first = np.flatnonzero(np.diff(wanted.astype(np.int64), prepend=-1))
     times = np.diff(np.append(first, len(wanted)))
     big = times * n[first] > TILE
     for f, t in zip(first[big].tolist(), times[big].tolist()):
@@ -275,11 +279,10 @@ def _meet(index, probe):
         cut = upto
 
 
-def _bucket(sides: dict[int, _Side]):
-    s = {k: v.sort() for k, v in sides.items()}
+def _bucket(sides: list[_Side]):
+    s = [v.sort() for v in sides]
     for x, y in ((WHOLE, SAME), (WHOLE, NEAR), (WHOLE, SHORT), (LESS, NEAR)):
-        if s.get(x) and s.get(y):
-            yield from _meet(s[x], s[y])
+        yield from _meet(s[x], s[y])
 
 
 PAIRS = "a long, b long, tile array<binary>"
@@ -287,7 +290,7 @@ PAIRS = "a long, b long, tile array<binary>"
 
 def _join(it):
     """Blocks sorted by bucket to pairs and tiles, bucket by bucket."""
-    now, sides = None, {}
+    now, sides = None, []
 
     def flush():
         seen = []
@@ -307,8 +310,11 @@ def _join(it):
             if r.bucket != now:
                 if sides:
                     yield from flush()
-                now, sides = r.bucket, {}
-            sides.setdefault(r.kind, _Side()).add(r)
+                now, sides = r.bucket, [_Side() for _ in range(5)]
+            rid, size = np.cumsum(_unpack(r.rid, np.int64)), _unpack(r.size, np.uint32).astype(np.int64)
+            sketch = [_unpack(x, np.uint64) for x in r.sketch]
+            for side, key, own in zip(sides, r.key, r.own):
+                side.add(rid, size, sketch, key, own)
     if sides:
         yield from flush()
 
@@ -319,11 +325,11 @@ def _frame(seen: list[np.ndarray]) -> pd.DataFrame:
 
 
 def _untile(it):
-    kinds = (np.int64, np.int64, np.uint64)
+    kinds = (np.int64, np.int64, np.uint64, np.uint64)
     for pdf in it:
         for tile in pdf["tile"]:
-            left = [_unpack(x, k) for x, k in zip(tile[:3], kinds)]
-            right = [_unpack(x, k) for x, k in zip(tile[3:], kinds)]
+            left = [_unpack(x, k) for x, k in zip(tile[:4], kinds)]
+            right = [_unpack(x, k) for x, k in zip(tile[4:], kinds)]
             n, m = len(left[0]), len(right[0])
             a, b = _fit(*(np.repeat(v, m) for v in left), *(np.tile(v, n) for v in right))
             yield pd.DataFrame({"a": a, "b": b})
@@ -341,11 +347,12 @@ def _hashes(joined: str) -> Column:
 def word_sets(df: DataFrame, id_col: str, text: Column, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rid, w: the words in one string), once per set, and (rid, id)."""
     rows = df.select(F.col(id_col).alias("id"), F.array_join(words(text), " ").alias("w")).where("id is not null and w <> ''")
-    rows = rows.select("id", "w", F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(1), "w").alias("s2"))
+    rows = work.keep(rows.select("id", "w", F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(1), "w").alias("s2")))
     once = rows.groupBy("s1", "s2").agg(F.min("w").alias("w"), F.max("w").alias("v"))
     same = F.when(F.col("w") == F.col("v"), F.col("w")).otherwise(F.raise_error(F.lit("two word sets share a 128-bit hash")).cast("string"))
     sets = work.keep(once.select(F.monotonically_increasing_id().alias("rid"), same.alias("w"), "s1", "s2"))
     members = work.keep(rows.select("id", "s1", "s2").distinct().join(sets.select("rid", "s1", "s2"), ["s1", "s2"]).select("rid", "id"))
+    work.drop(rows)
     return sets.select("rid", "w"), members
 
 
