@@ -2,19 +2,25 @@
 
 Method: map the characters back to the bytes of a legacy encoding, run a byte-structure automaton over these bytes to find the maximal
 well-formed multibyte spans, and decode those spans only; the rest of the text is not touched. The automaton is the table of well-formed
-UTF-8 sequences (and, for GBK read as Latin-1, of GBK pairs). What a span decodes to must be characters that prose can hold; doubly garbled spans are
-decoded again. Single-byte text read with another single-byte table has no multibyte structure; it is recognised by what no
-word shows: letters of two scripts in one word, Cyrillic words in inverted case, runs of accented letters. A replacement character stands for lost bytes: its document is reported as not restorable.
+UTF-8 sequences (and, for GBK read as Latin-1, of GBK pairs). What a span decodes to must be characters that prose can hold; garbled
+spans are decoded again until nothing more decodes. A replacement character stands for lost bytes: its document is reported as not restorable.
 
-A span that stands alone, in quotes or code marks or in a sentence that speaks of signs and markers, is quoted as an example and is no case.
+Single-byte text read with another single-byte table has no multibyte structure. There the corpus decides: in how many places each
+character triple with a character beyond ASCII stands is counted over all documents. A word is suspected if it holds a triple that hardly ever occurs, and read
+again with another table only if every triple it then holds is well attested. The pair of tables that explains most of a document is taken, and
+only if the odds it gains are above ``GAIN``. So a Greek letter in a formula or an Icelandic name is left alone: no other reading of it is attested.
 
-Each document is one row of work in an Arrow batch: no shuffle at all. Null and blank texts are no case. Restored text is the
+A span that stands alone, in quotes or code marks or after a word that speaks of signs and markers, is quoted as an example and is no case.
+
+Two passes over the documents in Arrow batches; only the counts of triples are shuffled. Null and blank texts are no case. Restored text is the
 text itself where nothing could be restored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from functools import cache, lru_cache
 
 import pandas as pd
@@ -37,16 +43,7 @@ _CJK = re.compile("[一-鿿　-〿！-｠ -⁄]+")
 _LATIN_WORD = re.compile("[A-Za-zÀ-ɏ]")
 _BOX = re.compile("[─-╿▀-▟]+")
 _SCAN = re.compile("[^\x00-\x7f]{2,}|[Ͱ-ӿ一-鿿�\x80-\x9f√¬]")
-#: Characters with which Latin text shows that it was read with another table of one byte a character.
-_ODD = re.compile("(?P<sign>[╫◊Î](?<=[0-9] .)(?= [0-9])|[░∞](?<=[0-9] .)(?=C)|[ºß](?<= .)(?= [0-9])|Ö(?<= .)(?= [A-Z]))|[À-ÖØ-Þ¡-¿˘-˝ˆ˜ƒ†‡•‰΄΅ⁿ∂-⋿√◊⌐⌠⌡▀-▟─└┘┌┐├┤┬┴┼═-╬]|[ùûìîòóÑ](?= )|[ôì](?=\\w)")
-#: What may stand between two letters of sound text.
-_BETWEEN = set("“”‘’„‚«»‹›…→←×│€­")
-_CLOSING = {"ô": re.compile("[^\\W\\d_.,;:!?][.,;:!?]?[öõ](?!\\w)"), "ì": re.compile("[^\\W\\d_.,;:!?][.,;:!?]?[îí](?!\\w)")}
-_MISREAD_TABLES = ("cp850", "cp437", "mac_roman")
-_CASE_FLIP = re.compile("(?:^|[^А-яЁё])[а-яё][А-ЯЁ]{2,}")
 _WIDE = re.compile("[⺀-鿿豈-﫿＀-￯‐-⁄]+")
-_WORD = re.compile("[^\\W\\d_]")
-_CAPITALS = re.compile("[А-ЯЁЂ-Џ][А-ЯЁЂ-Џа-яё ,]{7,}")
 _HIGH = re.compile("[\xa1-\xff]{4,}")
 
 
@@ -86,7 +83,7 @@ def _sound(text: str) -> bool:
 
 
 @lru_cache(maxsize=200_000)
-def _spans(run: str) -> tuple[tuple[int, int, str], ...]:
+def _spans(run: str, lone: bool = False) -> tuple[tuple[int, int, str], ...]:
     """The UTF-8 spans of a run under the table that explains most of it: (start, end, text)."""
     best: tuple[tuple[int, int], tuple] = ((0, 0), ())
     for codec in CODECS:
@@ -94,7 +91,7 @@ def _spans(run: str) -> tuple[tuple[int, int, str], ...]:
         found = []
         for m in _UTF8.finditer(raw):
             text = _decoded(m.group())
-            if text is not None and _sound(text) and not (len(text) == 1 and "А" <= text <= "я"):
+            if text is not None and _sound(text) and (lone or not (len(text) == 1 and "А" <= text <= "я")):
                 found.append((m.start(), m.end(), text))
         # ties: the table that gives fewer capitals, for most letters are small
         covered = (sum(b - a for a, b, _ in found), -sum(c.isupper() for _, _, t in found for c in t))
@@ -144,42 +141,17 @@ def _letters(src: str, dst: str) -> dict[int, str]:
     return {cp: d for cp, b in _to_byte(src).items() if (d := _decoded(b, dst)) and d.isprintable()}
 
 
-_RU_COMMON = set("оеаинтсрвлк")
-
-
-def _russian(text: str) -> float:
-    letters = [c for c in text if c.isalpha()]
-    return sum(c in _RU_COMMON for c in letters) / max(1, len(letters))
-
-
-def _single(run: str, before: str, after: str) -> str | None:
-    """The run in a better single-byte table, if letters of two scripts meet in one word here."""
-    if len(run) > 3 or not (_LATIN_WORD.match(before) or _LATIN_WORD.match(after) or (run == "Ђ" and after.isdigit())):
-        return None
-    if all("Ѐ" <= c <= "ӿ" for c in run):
-        tables = ("cp1251", "iso8859-5", "koi8-r")
-    elif all("Ͱ" <= c <= "Ͽ" for c in run) and (not set(run) & set("ΩμπΔ") or (before.islower() and after.islower())):
-        tables = ("cp1253", "cp437")
-    else:
-        return None
-    for src in tables:
-        out = run.translate(_letters(src, "cp1252"))
-        if out != run and all(0xA0 < ord(c) < 0x180 or c == "€" for c in out):
-            return out
-    return run
-
-
 def _example(text: str, a: int, b: int) -> bool:
     """The span stands alone and is quoted or spoken of."""
     if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
         return False
     if a and b < len(text) and text[a - 1] in QUOTES and text[b] in QUOTES:
         return True
-    return bool(MENTION.search(text[max(0, a - 40) : a]))
+    return bool(MENTION.search(text[text.rfind("\n", 0, a) + 1 : a]))
 
 
-def _once(text: str) -> tuple[list[tuple[int, int, str]], bool]:
-    """Spans to replace, and whether bytes are lost; examples are left out."""
+def _once(text: str, lone: bool = False) -> tuple[list[tuple[int, int, str]], bool]:
+    """Spans to replace, and whether bytes are lost; examples are left out. lone: one Cyrillic letter counts too, as it does in a text that is garbled elsewhere."""
     out: list[tuple[int, int, str]] = []
     lost = False
     end = -1
@@ -193,7 +165,7 @@ def _once(text: str) -> tuple[list[tuple[int, int, str]], bool]:
         first = run[0]
         wide = "一" <= first <= "鿿"
         if len(run) > 1 and not (wide and _WIDE.fullmatch(run)):
-            found = [(a + s, a + e, t) for s, e, t in _spans(run)]
+            found = [(a + s, a + e, t) for s, e, t in _spans(run, lone)]
             if found and sum(e - s for s, e, _ in found) < 0.6 * len(run) and len(run) >= 4 and _HIGH.fullmatch(run):
                 found = []
             if found and _BOX.fullmatch(text, found[0][0], found[-1][1]):
@@ -218,119 +190,174 @@ def _once(text: str) -> tuple[list[tuple[int, int, str]], bool]:
                 t = _decoded(raw, "gbk") if _GBK.fullmatch(raw) else None
                 # the first level of GB 2312 leads with B0 to D7; small Cyrillic letters lie above
                 if not (t and _CJK.fullmatch(t) and 2 * sum("\xa1" <= c <= "\xd7" for c in raw[::2]) >= len(raw) * 0.7):
-                    t = _decoded(raw, "cp1251")
-                    letters = t and re.sub("[^А-яЁё]", "", t)
-                    if not (letters and len(letters) >= 4 and not re.search("[а-яё][А-ЯЁ]", letters)):
-                        continue
+                    continue
                 found.append((a + h.start(), a + h.end(), t))
-        if not found and "Ѐ" <= first <= "ӿ" and len(run) >= 3 and _CASE_FLIP.search(run):
-            for src, dst in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")):
-                t = run.translate(_letters(src, dst))
-                if not _CASE_FLIP.search(t) and _russian(t) > _russian(run):
-                    found = [(a, b, t)]
-                    break
         if not found and len(run) == 1 and "\x80" <= run <= "\x9f":
             t = run.encode("latin-1").decode("cp1252", "ignore")
             found = [(a, b, t or run)]
             lost = lost or not t
-        if not found and "Ͱ" <= first <= "ӿ":
-            t = _single(run, text[a - 1 : a], text[b : b + 1])
-            if t is not None:
-                found = [(a, b, t)]
-                lost = lost or t == run
         if found and not (len(found) == 1 and _example(text, found[0][0], found[0][1])):
             out += found
             end = found[-1][1]
     return out, lost
 
 
-def _inverted(text: str) -> list[tuple[int, int, str]]:
-    """Stretches of Cyrillic capitals that become ordinary Russian under the other Cyrillic table."""
-    out = []
-    for m in _CAPITALS.finditer(text):
-        run = m.group()
-        if sum(c.isupper() for c in run) < 0.6 * sum(c.isalpha() for c in run):
-            continue
-        t = run.translate(_letters("cp1251", "koi8-r"))
-        if _russian(t.lower()) > max(0.5, _russian(run.lower()) + 0.15):
-            out.append((m.start(), m.end(), t))
-    return out
-
+#: Tables that single-byte text is written in, and those it may have been read with instead (fixed values).
+WRITTEN = ("cp1252", "cp1251", "koi8-r", "cp1250")
+READ = ("cp1252", "latin-1", "cp1250", "iso8859-2", "iso8859-15", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac_cyrillic", "cp1253", "cp437", "cp850", "mac_roman", "cp1254", "cp1257")
+#: Places a document up to which a triple is hardly ever seen, and from which it is well attested; least odds (natural logarithm) for a document.
+RARE, ATTESTED, GAIN = 0.0005, 0.0008, 6.0
+_NOT_ASCII = "[^\\x00-\\x7f]"
+#: Words that a task counts before it hands on their triples.
+WORDS = 200_000
 
-def _misread(text: str) -> list[tuple[int, int, str]]:
-    """Latin text read with another single-byte table: a sign inside a word, a capital after a small letter, a letter where a
-    currency sign, a dash or quotation marks belong. Whole words are mapped, with the table that explains most of the document."""
-    hits = []
-    for m in _ODD.finditer(text):
-        k, c = m.start(), m.group()
-        before, after = text[k - 1 : k], text[k + 1 : k + 2]
-        if m.lastgroup == "sign":
-            hits += [k] * (not _example(text, k, k + 1))
-            continue
-        if c in "ôì" and after.isalnum():
-            hit = (before in " (\n" or not before) and after.isascii() and c == "ô" and bool(_CLOSING[c].search(text, k, k + 400)) and not _french(text, k) or (c == "ì" and (before in " (\n" or not before) and bool(_CLOSING[c].search(text, k, k + 400)))
-        elif c in "ùûìîòóÑÓ" and after == " " and before == " ":
-            hit = text[k - 2 : k - 1].isalnum() and text[k + 2 : k + 3].isalpha()
-        elif c in "ÐÞ" and after.islower() and not before.isalpha():
-            hit = True
-        elif c.isupper():
-            nxt = text[k + 2 : k + 3] if after.isalpha() else after
-            hit = (before.islower() and not (after.isupper() or nxt.isupper())) or ("A" <= before <= "Z" and after.islower() and nxt.islower()) or (c in "ÇÄ" and after.isdigit() and not before.isalnum())
-        else:
-            hit = c not in _BETWEEN and bool(before and after and _WORD.match(before) and after.islower() and (before.isascii() or after.isascii()))
-            hit = hit or (c in "˙¯¸´¨˝∩ⁿ∂√" and bool(_WORD.match(before or " ")))
-            hit = hit or ("└" <= c <= "▟" and c not in "─│═║" and (before.isascii() and before.isalpha() or after.isascii() and after.isalpha()))
-        if hit and not _example(text, k, k + 1):
-            hits.append(k)
-    if not hits:
-        return []
-    good = lambda c: c.islower() or c in "“”‘’–—…€ÀÉ"
-    table = max((_letters(t, "cp1252") for t in _MISREAD_TABLES), key=lambda t: sum(good(t.get(ord(text[k]), "?")) for k in hits))
-    out, end = [], -1
-    for k in hits:
-        if k < end:
-            continue
-        a, b = k, k + 1
-        while a and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        out.append((a, b, text[a:b].translate(table)))
-        end = b
-    return out
+_MARKED = re.compile(r"[!-~]*[^\s\x00-\x7f]\S*")
+#: Alphabets written in single bytes, and their punctuation.
+_ALPHABETIC = re.compile("[\x21-ԯ‐-›€™•]+")
 
 
-def _french(text: str, k: int) -> bool:
-    return text[k : k + 3] in ("ôte", "ôta", "ôté")
+def triples(word: str) -> list[str]:
+    """Triples of a word between spaces that hold a character beyond ASCII."""
+    out = []
+    for part in _ALPHABETIC.findall(word):
+        p = f" {part} "
+        out += [g for k in range(len(p) - 2) if not (g := p[k : k + 3]).isascii()]
+    return out
 
 
-def repair(text: str | None) -> tuple[bool, str | None, int, bool]:
+def _lettered(g: str) -> bool:
+    return any(c.isalpha() for c in g)
+
+
+class Attested:
+    """How often triples stand in the corpus: only those seen more often than RARE, so at most (triples a document) / RARE of them."""
+
+    def __init__(self, seen: dict[str, int], documents: int):
+        self.seen = seen
+        self.rare, self.least = max(1.5, RARE * documents), max(3.0, ATTESTED * documents)
+        self.pairs = [(r, w, {cp: c for cp, c in _letters(r, w).items() if c != chr(cp)}) for w in WRITTEN for r in READ if r != w]
+        self.known: dict[str, list[tuple[int, str, float]]] = {}
+        self.fine: set[str] = set()
+
+    def readings(self, word: str) -> list[tuple[int, str, float]]:
+        """(pair of tables, word read again, odds gained) of a word that needs it."""
+        if word not in self.known:
+            if len(self.known) + len(self.fine) > WORDS:
+                self.known.clear()
+                self.fine.clear()
+            self.known[word] = self._readings(word)
+            if not self.known[word]:
+                self.fine.add(word)
+        return self.known[word]
+
+    def _readings(self, word: str) -> list[tuple[int, str, float]]:
+        if not _ALPHABETIC.fullmatch(word) or all(self.seen.get(g, 0) > self.rare for g in triples(word) if _lettered(g)):
+            return []
+        out = []
+        for k, (_, _, table) in enumerate(self.pairs):
+            again = word.translate(table)
+            if again != word and (g := self._gain(word, again)) > 0:
+                out.append((k, again, g))
+        return out
+
+    def _gain(self, word: str, again: str) -> float:
+        a, b, gain = f" {word} ", f" {again} ", 0.0
+        lettered = any(x != y and y.isalpha() for x, y in zip(a, b))  # a letter that turns into a sign tells nothing
+        for k in range(len(a) - 2):
+            p, q = a[k : k + 3], b[k : k + 3]
+            if p != q and _lettered(q):
+                n = self.seen.get(q, 0)
+                if q.isascii():
+                    n = self.least
+                elif n < self.least:
+                    return 0.0
+                gain += math.log((n + 0.5) / (self.seen.get(p, 0) + 0.5))
+        return gain if lettered else 0.0
+
+    def restore(self, text: str) -> tuple[int, str]:
+        """Words read again, and the text with them."""
+        odds: dict[int, float] = {}
+        for word in set(_MARKED.findall(text)) - self.fine:
+            for k, _, g in self.readings(word):
+                odds[k] = odds.get(k, 0.0) + g
+        if not odds or max(odds.values()) < GAIN:
+            return 0, text
+        best = max(odds, key=lambda k: (odds[k], -k))
+        n = 0
+
+        def again(m):
+            nonlocal n
+            for k, w, _ in self.readings(m.group()):
+                if k == best and not _example(text, m.start(), m.end()):
+                    n += 1
+                    return w
+            return m.group()
+
+        now = _MARKED.sub(again, text)
+        return n, now
+
+
+def repair(text: str | None, attested: Attested | None = None) -> tuple[bool, str | None, int, bool]:
     """(found, text with every span decoded, spans, whether bytes are lost)."""
     if not text or text.isascii():
         return False, text, 0, False
     spans, lost = _once(text)
-    if not spans:
-        spans = _inverted(text) or _misread(text)
     n, now = len(spans), text
-    for _ in range(3):  # garbled twice or more
-        if not spans:
-            break
+    while spans:  # garbled twice or more: every round leaves fewer characters or none to decode
         parts, at = [], 0
         for a, b, t in spans:
             parts += (now[at:a], t)
             at = b
-        now = "".join((*parts, now[at:]))
-        spans, _ = _once(now)
+        done = "".join((*parts, now[at:]))
+        if len(done) >= len(now) and n > len(spans):
+            break
+        now = done
+        spans, _ = _once(now, lone=True)
+        n += len(spans)
+    if attested is not None:
+        k, now = attested.restore(now)
+        n += k
     return bool(n or lost), now, n, lost
 
 
+def triple_counts(rows: DataFrame) -> Attested:
+    """Places of every triple over all documents (a word counts once a document)."""
+
+    def run(batches):
+        words: Counter = Counter()
+
+        def hand_on():
+            n: Counter = Counter()
+            for w, k in words.items():
+                for g in triples(w):
+                    n[g] += k
+            words.clear()
+            return pd.DataFrame({"g": list(n), "n": list(n.values())})
+
+        for pdf in batches:
+            for t in pdf["text"]:
+                words.update(set(_MARKED.findall(t)))
+            if len(words) > WORDS:
+                yield hand_on()
+        if words:
+            yield hand_on()
+
+    documents = rows.count()
+    counts = rows.select("text").where(F.col("text").rlike(_NOT_ASCII)).mapInPandas(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return Attested({r["g"]: r["n"] for r in counts.where(F.col("n") > F.lit(max(1.5, RARE * documents))).collect()}, documents)
+
+
+
+
 def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
     """(id, restored, spans, lost) of the documents that hold a wrongly decoded passage; with ``full`` false only the id."""
     kind = dict(df.dtypes)[id_col]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    attested = triple_counts(rows)
 
     def run(batches):
         for pdf in batches:
-            done = [repair(t) for t in pdf["text"]]
+            done = [repair(t, attested) for t in pdf["text"]]
             keep = [d[0] for d in done]
             out = pdf.loc[keep, ["id"]]
             if full:
@@ -338,9 +365,8 @@ def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", full:
                 out = out.assign(restored=[d[1] for d in hits], spans=pd.array([d[2] for d in hits], dtype="int32"), lost=pd.array([d[3] for d in hits], dtype="bool"))
             yield out
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
     schema = f"id {kind}" + ", restored string, spans int, lost boolean" * full
-    return rows.mapInPandas(run, schema)
+    return rows.where(F.col("text").rlike(_NOT_ASCII)).mapInPandas(run, schema)
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
