@@ -212,8 +212,8 @@ _NOT_ASCII = "[^\\x00-\\x7f]"
 WORDS = 200_000
 
 _MARKED = re.compile(r"[!-~]*[^\s\x00-\x7f]\S*")
-#: Alphabets written in single bytes, and their punctuation.
-_ALPHABETIC = re.compile("[\x21-ԯ‐-›€™•]+")
+#: Alphabets written in single bytes, their punctuation and the signs of their tables.
+_ALPHABETIC = re.compile("[\x21-ԯ‐-›€™•∀-⋿⌐-⌡─-◿ﬁﬂ]+")
 
 
 def triples(word: str) -> list[str]:
@@ -236,6 +236,7 @@ class Attested:
         self.seen = seen
         self.rare, self.least = max(1.5, RARE * documents), max(3.0, ATTESTED * documents)
         self.pairs = [(r, w, {cp: c for cp, c in _letters(r, w).items() if c != chr(cp)}) for w in WRITTEN for r in READ if r != w]
+        self.columns: dict[str, str] = {}
         self.known: dict[str, list[tuple[int, str, float]]] = {}
         self.fine: set[str] = set()
 
@@ -253,11 +254,19 @@ class Attested:
     def _readings(self, word: str) -> list[tuple[int, str, float]]:
         if not _ALPHABETIC.fullmatch(word) or all(self.seen.get(g, 0) > self.rare for g in triples(word) if _lettered(g)):
             return []
+        chars = sorted({c for c in word if not c.isascii()})
+        for c in chars:
+            if c not in self.columns:
+                self.columns[c] = "".join(table.get(ord(c), c) for _, _, table in self.pairs)
+        gains: dict[tuple, tuple[str, float]] = {}  # many pairs of tables read a word alike
         out = []
-        for k, (_, _, table) in enumerate(self.pairs):
-            again = word.translate(table)
-            if again != word and (g := self._gain(word, again)) > 0:
-                out.append((k, again, g))
+        for k, read in enumerate(zip(*(self.columns[c] for c in chars))):
+            if read not in gains:
+                again = word.translate(dict(zip(map(ord, chars), read)))
+                gains[read] = again, self._gain(word, again) if again != word else 0.0
+            again, gain = gains[read]
+            if gain > 0:
+                out.append((k, again, gain))
         return out
 
     def _gain(self, word: str, again: str) -> float:
@@ -332,15 +341,15 @@ def triple_counts(rows: DataFrame) -> Attested:
                 for g in triples(w):
                     n[g] += k
             words.clear()
-            return pd.DataFrame({"g": list(n), "n": list(n.values())})
+            if n:
+                yield pd.DataFrame({"g": list(n), "n": list(n.values())})
 
         for pdf in batches:
             for t in pdf["text"]:
                 words.update(set(_MARKED.findall(t)))
             if len(words) > WORDS:
-                yield hand_on()
-        if words:
-            yield hand_on()
+                yield from hand_on()
+        yield from hand_on()
 
     documents = rows.count()
     counts = rows.select("text").where(F.col("text").rlike(_NOT_ASCII)).mapInPandas(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
@@ -363,7 +372,8 @@ def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", full:
             if full:
                 hits = [d for d in done if d[0]]
                 out = out.assign(restored=[d[1] for d in hits], spans=pd.array([d[2] for d in hits], dtype="int32"), lost=pd.array([d[3] for d in hits], dtype="bool"))
-            yield out
+            if len(out):
+                yield out
 
     schema = f"id {kind}" + ", restored string, spans int, lost boolean" * full
     return rows.where(F.col("text").rlike(_NOT_ASCII)).mapInPandas(run, schema)
