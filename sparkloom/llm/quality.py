@@ -5,8 +5,9 @@ repeated lines and paragraphs, share of characters that the most frequent word p
 
 Kind: every line is taken for a table row, a list item, a part of running text or a heading, by combined rules over its neighbours
 (a column needs rows that agree, unmarked items need a run of short lines). The kind that holds more than half of the characters
-wins. What is left as running text is junk if it has no language in it: few letters, no common words, one
-endless token, or repetition.
+wins. What is left as running text is junk if it has no language in it: few letters, one endless token, repetition, or words that neither stand in
+the lists of common words nor are built and mixed as those of a language are (whatever the language: in speech short words recur
+between long ones, and words can be spoken).
 
 One row of work per document in Arrow batches, no shuffle. Null texts: null statistics and no kind; blank texts: zeros and no kind. Ties between kinds: prose.
 """
@@ -14,6 +15,7 @@ One row of work per document in Arrow batches, no shuffle. Null texts: null stat
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import pandas as pd
@@ -169,6 +171,31 @@ def _repeated(parts: list[str]) -> float:
     return sum(len(p) * (n - 1) for p, n in c.items()) / max(1, sum(len(p) * n for p, n in c.items()))
 
 
+#: Least share of words of at most three letters, and largest share of words that cannot be spoken, in the text of a language.
+SHORT, UNSPOKEN = 0.12, 0.1
+# Vowels of the Latin, Greek and Cyrillic alphabets, after the accents are taken off.
+VOWELS = frozenset("aeiouyæøœıαεηιουωаеиоуыэюяієё")
+
+
+def _spoken(word: str) -> bool:
+    """It has a vowel, and no five consonants stand in a row."""
+    run = most = vowels = 0
+    for c in unicodedata.normalize("NFD", word):
+        if unicodedata.combining(c):
+            continue
+        run = 0 if c in VOWELS else run + 1
+        vowels += c in VOWELS
+        most = max(most, run)
+    return len(word) < 2 or (vowels > 0 and most < 5)
+
+
+def _is_speech(words: list[str]) -> bool:
+    words = [x for x in words if not any(map(str.isdigit, x))]
+    if len(words) < 5:
+        return False
+    return sum(len(x) <= 3 for x in words) >= SHORT * len(words) and sum(not _spoken(x) for x in words) <= UNSPOKEN * len(words)
+
+
 def _is_junk(text: str) -> bool:
     body = _weight(text)
     words = [x.lower() for x in _WORD.findall(text)]
@@ -190,7 +217,7 @@ def _is_junk(text: str) -> bool:
     if wide > 0.3 * letters:
         return False
     common = sum(x in STOP for x in words) / len(words)
-    return common < 0.07
+    return common < 0.07 and not _is_speech(words)
 
 
 def stats(text: str | None) -> tuple:
