@@ -9,8 +9,9 @@ All expressions are Spark's own; only texts with combining marks or conjoining j
 
 * Null texts and texts without a letter or digit have no key and are in no group.
 * An id that is delivered again counts once. Ties: the least id by bytes is kept.
-* A text is a record of named fields if it is a JSON object, or if at least ``MIN_FIELDS`` parts, split at line ends, at
-  ``|`` or at ``;``, all have the form ``name: value`` or ``name = value``. A field name that occurs twice keeps both values.
+* A text is a record of named fields if it is a JSON object, or if its parts, at least two, split at line ends, ``|``, ``;``, tabs or commas, all
+  have the form ``name: value`` or ``name = value``. The notations are tried in turn; between marks that prose holds too (``;``, tabs, commas) a name is one word. A name that occurs twice keeps both values; objects inside
+  a JSON value are brought into the order of their names. A record of one field has the key of the plain text, for there is no order.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkloom.plans.hot import join_groups
 from sparkloom.plans.shared import Scratch
 
-MIN_FIELDS = 3
 #: Full-width letters and digits. Other compatibility forms stay: by NFKC ½ would meet 12.
 _WIDE = "".join(chr(k + 0xFEE0) for k in range(0x30, 0x7B) if chr(k).isalnum())
 _NARROW = "".join(chr(k) for k in range(0x30, 0x7B) if chr(k).isalnum())
 #: Texts that composition can change: with combining marks or conjoining jamo.
 _LOOSE = r"[\p{M}\x{1100}-\x{11FF}]"
-_NAME = r"^\s*[\p{L}_][\p{L}\p{N}_\- ]{0,39}$"
+_NAME, _WORD = r"^\s*[\p{L}_][\p{L}\p{N}_\- ]*$", r"^\s*[\p{L}_][\p{L}\p{N}_\-]*\s*$"
 
 
 def _let(value: Column, body) -> Column:
@@ -47,18 +47,24 @@ def _named(name: Column, value: Column) -> Column:
 
 
 def _joined(fields: Column) -> Column:
-    return F.concat(F.lit("\u0002"), F.array_join(F.array_sort(fields), "\u0002"))
+    """The fields in order; one field reads as plain text."""
+    return F.when(F.size(fields) == 1, F.replace(fields[0], F.lit("\u0001"), F.lit(""))).otherwise(F.concat(F.lit("\u0002"), F.array_join(F.array_sort(fields), "\u0002")))
+
+
+def _ordered(value: Column) -> Column:
+    """Objects within the value with their names in order (so a variant holds them)."""
+    return F.when(value.rlike(r"^[\[{]"), F.coalesce(F.to_json(F.try_parse_json(value)), value)).otherwise(value)
 
 
 def _from_json(s: Column) -> Column:
     parsed = F.from_json(s, "map<string,string>", {"allowUnescapedControlChars": "true", "mode": "PERMISSIVE"})
-    return _let(parsed, lambda m: F.when(F.size(m) > 0, _joined(F.transform(F.map_entries(m), lambda e: _named(e["key"], e["value"])))))
+    return _let(parsed, lambda m: F.when(F.size(m) > 0, _joined(F.transform(F.map_entries(m), lambda e: _named(e["key"], _ordered(e["value"]))))))
 
 
-def _from_parts(s: Column, separator: str) -> Column:
+def _from_parts(s: Column, separator: str, name: str = _NAME) -> Column:
     """The fields of the text, if every part has the form name: value."""
     halves = F.transform(F.split(s, separator), lambda p: F.split(p, "[:=]", 2))
-    whole = lambda hs: (F.size(hs) >= MIN_FIELDS) & F.forall(hs, lambda h: (F.size(h) == 2) & h[0].rlike(_NAME))
+    whole = lambda hs: (F.size(hs) >= 2) & F.forall(hs, lambda h: (F.size(h) == 2) & h[0].rlike(name))
     return _let(halves, lambda hs: F.when(whole(hs), _joined(F.transform(hs, lambda h: _named(h[0], h[1])))))
 
 
@@ -69,8 +75,11 @@ def canonical(text: Column) -> Column:
         fields = F.coalesce(
             F.when(s.startswith("{") & s.endswith("}"), _from_json(s)),
             F.when(s.contains("|"), _from_parts(s, r"\|")),
-            F.when(s.rlike(r"^[^\s=]{1,40}\s*="), _from_parts(s, r";\s*(?=[\p{L}_][\p{L}\p{N}_\-]*\s*=)")),
+            F.when(s.rlike(r"^[^\s=]+\s*="), _from_parts(s, r";\s*(?=[\p{L}_][\p{L}\p{N}_\-]*\s*=)")),
             F.when(s.contains("\n") | s.contains("\r"), _from_parts(s, r"[\r\n]+")),
+            F.when(s.contains(";"), _from_parts(s, ";", _WORD)),
+            F.when(s.contains("\t"), _from_parts(s, r"\t+", _WORD)),
+            F.when(s.contains(","), _from_parts(s, r",\s*(?=[\p{L}_][\p{L}\p{N}_\-]*\s*[:=])", _WORD)),
         )
         return _let(fields, lambda f: F.when(f.isNotNull(), f).otherwise(F.nullif(folded(s), F.lit(""))))
 
@@ -116,13 +125,15 @@ def copies(df: DataFrame, id_col: str, text: Column, seed: int = 0) -> DataFrame
 def collapse(df: DataFrame, id_col: str, text: Column, variant: Column, seed: int = 0) -> DataFrame:
     """(keep_id, copies, variants): one row per content, also those of a single id; variants: the values seen, sorted, nulls left out.
 
-    The rows of a hot content are combined by (hash, variant) before its values meet in one row.
+    Ids are counted by content, and variants made distinct by (content, variant), each with map-side combining, before a content is one row.
     """
-    rows = keyed(df, id_col, text, variant.alias("variant"), seed=seed).groupBy("id", "h1", "h2", "chk", "len", "variant").count().drop("count")
-    per_id = rows.groupBy("id", "h1", "h2", "chk", "len").agg(F.sort_array(F.collect_set("variant")).alias("vs"))
-    groups = per_id.groupBy("h1", "h2", "vs").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min("chk").alias("c0"), F.max("chk").alias("c1"), F.min("len").alias("l0"), F.max("len").alias("l1"))
-    groups = groups.groupBy("h1", "h2").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("vs")))).alias("variants"))
-    return _checked(groups).select("keep_id", F.col("n").alias("copies"), "variants")
+    work = Scratch(df.sparkSession, "formatting")
+    rows = work.keep(keyed(df, id_col, text, variant.alias("variant"), seed=seed).distinct())
+    ids = rows.select("id", "h1", "h2", "chk", "len").distinct()
+    groups = ids.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min("chk").alias("c0"), F.max("chk").alias("c1"), F.min("len").alias("l0"), F.max("len").alias("l1"))
+    seen = rows.where("variant is not null").select("h1", "h2", "variant").distinct().groupBy("h1", "h2").agg(F.sort_array(F.collect_list("variant")).alias("variants"))
+    none = F.array().cast("array<string>")
+    return _checked(groups).join(seen, ["h1", "h2"], "left").select("keep_id", F.col("n").alias("copies"), F.coalesce("variants", none).alias("variants"))
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
