@@ -8,9 +8,9 @@ out of the graph, and label the small components that remain by minimum propagat
   makes minimum propagation shrink long sorted chains geometrically.
 * A frontier up to ``FRONTIER_ROWS`` keys is broadcast (8 bytes each, counted before the join), so the hub
   whose edges are a large part of the table never meets a shuffle; beyond the bound it is a shuffle join.
-* Peeling stops once a frontier adds less than ``PEEL_SHARE`` of what is already peeled (a long tail costs one job a hop):
-  edges that cross the border are then rewritten to the giant's own key, so nothing is cut off; the tails
-  are labelled with the rest.
+* Peeling stops once a frontier adds less than ``PEEL_SHARE`` of what is already peeled (a long tail costs one job a hop). What is peeled is
+  taken away by anti-joins, and the keys of the last frontier, which stay, are tied to the root: nothing is cut off, and
+  the tails are labelled with the rest. The share decides who labels a vertex, never its label.
 * Each propagation round takes every vertex to the least key around it and contracts the graph by that map,
   dropping loops and doubles. Round maps shrink geometrically and are composed once, from the last to the
   first. A round is one aggregation and two joins, whatever the size of the groups: no component is ever
@@ -72,36 +72,23 @@ def _peel(pairs: DataFrame, work: Scratch) -> tuple[DataFrame | None, int | None
     if not top or top[0]["count"] < 3:
         return None, None, pairs
     root, spark = top[0]["a"], pairs.sparkSession
-    frontier = spark.createDataFrame([(root,)], "key long")
-    layers, n, total, open_pairs = [frontier], 1, 1, pairs
+    giant = work.keep(spark.createDataFrame([(root,)], "key long"))
+    frontier, n, total = giant, 1, 1
     while True:
         near = _near(frontier.select(F.col("key").alias("a")), n)
-        ahead = open_pairs.join(near.withColumnRenamed("a", "u"), "u").select(F.col("v").alias("key")).unionByName(open_pairs.join(near.withColumnRenamed("a", "v"), "v").select(F.col("u").alias("key")))
-        fresh = ahead.groupBy("key").count().select("key")
-        # in breadth-first search a neighbour of one layer lies in that layer, the one before or the one after
-        for old in layers[-2:]:
-            fresh = fresh.join(old, "key", "left_anti")
-        fresh = work.keep(fresh)
+        ahead = pairs.join(near.withColumnRenamed("a", "u"), "u").select(F.col("v").alias("key")).unionByName(pairs.join(near.withColumnRenamed("a", "v"), "v").select(F.col("u").alias("key")))
+        fresh = work.keep(ahead.groupBy("key").count().select("key").join(_near(giant, total), "key", "left_anti"))
         n = fresh.count()
-        if n:
-            layers.append(fresh)
-            total += n
-        if n == 0 or n < PEEL_SHARE * total:
+        if n < max(1, PEEL_SHARE * total):
             break
-        frontier = fresh
-    giant = layers[0]
-    for layer in layers[1:]:
-        giant = giant.unionByName(layer)
-    mark = lambda c: giant.select(F.col("key").alias(c), F.lit(True).alias(f"in_{c}"))
-    # the border: what touches the giant becomes an edge to its root; what lies inside it goes, the hub's pairs first
-    marked = pairs.where((F.col("u") != F.lit(root)) & (F.col("v") != F.lit(root))).join(mark("u"), "u", "left").join(mark("v"), "v", "left")
-    rest = (
-        marked.where("not (in_u is not null and in_v is not null)")
-        .select(F.when(F.col("in_u"), F.lit(root)).otherwise(F.col("u")).alias("x"), F.when(F.col("in_v"), F.lit(root)).otherwise(F.col("v")).alias("y"))
-        .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-        .distinct()
-    )
-    return giant, root, work.keep(rest)
+        giant = giant.unionByName(fresh)
+        frontier, total = fresh, total + n
+    known = _near(giant, total)
+    rest = pairs.where((F.col("u") != F.lit(root)) & (F.col("v") != F.lit(root)))  # the hub's own pairs go without a join
+    for end in ("u", "v"):
+        rest = rest.join(known.withColumnRenamed("key", end), end, "left_anti")
+    tied = fresh.select(F.least(F.lit(root), "key").alias("u"), F.greatest(F.lit(root), "key").alias("v"))
+    return giant, root, work.keep(rest.select("u", "v").unionByName(tied))
 
 
 def _propagate(pairs: DataFrame, work: Scratch) -> DataFrame | None:
