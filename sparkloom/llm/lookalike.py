@@ -23,8 +23,11 @@ from sparkloom.plans.shared import Scratch
 
 # Letters that look like a Latin one, after canonical decomposition.
 CYRILLIC = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ԍ": "G", "Ѵ": "V", "Ӏ": "I"}
-GREEK = {"ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J"}
+GREEK = {"ο": "o", "ρ": "p", "υ": "u", "ν": "v", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J"}
 OTHER = {"օ": "o", "ո": "n", "հ": "h", "ս": "u", "ց": "g", "յ": "j", "Տ": "S", "Օ": "O", "ɡ": "g", "ɑ": "a", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "‐": "-", "ʼ": "’"}
+CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B"}
+COPTIC = {"Ⲁ": "A", "Ⲃ": "B", "Ⲍ": "Z", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X"}
+LISU = {"ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z"}
 # The default-ignorable code points of the Unicode standard, as ranges.
 IGNORABLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
 LINE_BREAKS = "\n\x85  "
@@ -71,7 +74,7 @@ class _Letters(dict):
 
 @cache
 def _tables(signs: bool) -> tuple[_Forms, _Letters]:
-    return _Forms(signs), _Letters({ord(k): v for k, v in (CYRILLIC | GREEK | OTHER).items()})
+    return _Forms(signs), _Letters({ord(k): v for k, v in (CYRILLIC | GREEK | OTHER | CHEROKEE | COPTIC | LISU).items()})
 
 
 def one_form(text: str, fold_case: bool = False, signs: bool = False) -> str:
@@ -102,26 +105,45 @@ def forms(df: DataFrame, id_col: str = "id", text_col: str = "text", **how) -> D
     return df.select(F.col(id_col).alias("id"), canonical(F.col(text_col), **how).alias("form"))
 
 
+#: Rows of one form that one task pairs with others; a form of more is dealt out by hash.
+SHARE = 20_000
+
+
 def equal_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b), id_a < id_b by bytes: equal forms, different characters.
 
-    Only forms that occur with at least two different texts reach the join, and pairs are made between texts that differ,
-    never among the copies of one text.
+    The form is worked out and hashed where the text is read; only hashes are shuffled. Only forms that occur with at least two different
+    texts reach the join, and pairs are made between texts that differ, never among the copies of one. Two forms that share a 128-bit hash
+    but not the third one stop the query. Null ids and null texts are in no pair; an id that is delivered again counts once a text.
     """
     work = Scratch(df.sparkSession, "lookalike")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).where("id is not null and raw is not null").distinct()
-    rows = rows.withColumn("form", canonical(F.col("raw")))
-    hashed = work.keep(rows.select("id", *(F.xxhash64(F.lit(k), c).alias(f"{c[0]}{k}") for c in ("form", "raw") for k in (1, 2))))
-    mixed = work.keep(hashed.groupBy("f1", "f2").agg(F.min("r1").alias("lo"), F.max("r1").alias("hi"), F.min("r2").alias("lo2"), F.max("r2").alias("hi2")).where("lo <> hi or lo2 <> hi2").select("f1", "f2"))
-    some = work.keep(hashed.join(mixed, ["f1", "f2"], "left_semi"))
-    a, b = some.alias("a"), some.alias("b")
-    on = "a.f1 = b.f1 and a.f2 = b.f2 and a.id < b.id and (a.r1 <> b.r1 or a.r2 <> b.r2)"
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).where("id is not null and raw is not null").withColumn("form", canonical(F.col("raw")))
+    hashed = work.keep(rows.select("id", *(F.xxhash64(F.lit(k), c).alias(f"{c[0]}{k}") for c in ("form", "raw") for k in (1, 2)), F.xxhash64(F.lit(3), "form").alias("chk")).distinct())
+    by_text = hashed.groupBy("f1", "f2", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+    by_form = by_text.groupBy("f1", "f2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    sound = F.when(F.col("c0") == F.col("c1"), F.col("n")).otherwise(F.raise_error(F.lit("two forms share a 128-bit hash")).cast("long"))
+    mixed = work.keep(by_form.withColumn("n", sound).where("texts > 1").select("f1", "f2", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")))
+    some = work.keep(hashed.join(mixed, ["f1", "f2"]).select("id", "f1", "f2", "r1", "r2", "shares"))
+    a = some.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares").cast("long")).cast("int")).alias("a")
+    b = some.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("b")
+    on = "a.f1 = b.f1 and a.f2 = b.f2 and a.share = b.share and a.id < b.id and (a.r1 <> b.r1 or a.r2 <> b.r2)"
     return a.join(b, F.expr(on)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
+def classes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(form, ids, spellings) of every form: how many ids have it, in how many different texts."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).where("id is not null and raw is not null").withColumn("form", canonical(F.col("raw")))
+    texts = rows.select("id", "form", F.xxhash64(F.lit(1), "raw").alias("r1"), F.xxhash64(F.lit(2), "raw").alias("r2"))
+    return texts.distinct().groupBy("form", "r1", "r2").agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("spellings"))
+
+
 def p3_found(spark, sf_dir: str) -> DataFrame:
     return equal_pairs(spark.read.parquet(f"{sf_dir}/text_sample.parquet"))
 
 
 def p3_forms(spark, sf_dir: str) -> DataFrame:
     return forms(spark.read.parquet(f"{sf_dir}/text_sample.parquet")).distinct()
+
+
+def p3_classes(spark, sf_dir: str) -> DataFrame:
+    return classes(spark.read.parquet(f"{sf_dir}/text_sample.parquet"))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sparkloom.llm import answers, components, containers, formatting, lookalike, mixing, mojibake, quality, similar
+from sparkloom.llm import answers, components, containers, formatting, lookalike, mixing, mojibake, quality, similar
+
 
-    return {"p1_found": components.p1_found, "p2_found": answers.p2_found, "p6_found": formatting.p6_found, "p6_kept": formatting.p6_kept, "p3_found": lookalike.p3_found, "p3_forms": lookalike.p3_forms, "p4_found": similar.p4_found, "p5_found": quality.p5_found, "p5_stats": quality.p5_stats, "p7_packed": containers.p7_packed, "p8_selected": mixing.p8_selected, "p8_shares": mixing.p8_shares, "p9_found": mojibake.p9_found, "p9_restored": mojibake.p9_restored}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p1_found": components.p1_found, "p2_found": answers.p2_found, "p6_found": formatting.p6_found, "p6_kept": formatting.p6_kept, "p3_found": lookalike.p3_found, "p3_forms": lookalike.p3_forms, "p3_classes": lookalike.p3_classes, "p4_found": similar.p4_found, "p5_found": quality.p5_found, "p5_stats": quality.p5_stats, "p7_packed": containers.p7_packed, "p8_selected": mixing.p8_selected, "p8_shares": mixing.p8_shares, "p9_found": mojibake.p9_found, "p9_restored": mojibake.p9_restored}
 
 
 P1_FOUND = """
