@@ -1,10 +1,12 @@
 """Texts assigned to containers of a fixed number of tokens with little space left.
 
-Method: the histogram of lengths goes to the driver (one number for each length up to the capacity, whatever the rows). Fillings (multisets of lengths) are
-drawn from it, non-negative least squares tell how often each is used, and what the rounding leaves is filled longest first; if that alone
-needs fewer containers, it is taken. The texts are then numbered within their length, and the number gives the container.
+Method: the histogram of lengths goes to the driver (one number for each length up to the capacity, whatever the rows). For every length, shallow
+combinations (at most three different lengths, each as often as needed) that fill a window below the capacity are enumerated, and the best filled are
+kept. Non-negative least squares tell how often each is to be repeated so that the histogram is met, the numbers are rounded
+down, and what the rounding leaves is packed greedily, longest first. Of a few shares of the numbers the one that ends in the fewest containers is taken. The texts are then numbered within their length, and the number gives the container.
 
 A text longer than the capacity is split into full containers and one rest, which is filled like any other; no other text is split.
+Null and blank texts have no tokens and are in no container. An empty table gives no containers.
 """
 
 from __future__ import annotations
@@ -18,34 +20,64 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sparkloom.llm.tokens import token_counts
 from sparkloom.plans.shared import Scratch
 
-#: Fillings that least squares choose from.
-FILLINGS = 256
+#: Space that a combination may leave, of the capacity; combinations kept a length; second lengths tried a length.
+WINDOW, KEPT, SECONDS = 0.01, 6, 24
+#: Sweeps of the least squares.
+SWEEPS = 40
+#: Shares of the numbers of repeats that are rounded down.
+ROUNDINGS = (1.0, 0.8, 0.6, 0.4, 0.2, 0.1)
 #: Parts that the texts of one length are numbered in.
 BUCKETS = 64
 
 
-def nnls(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """x >= 0 that minimises |A x - b|, from A'A and A'b (Lawson and Hanson)."""
-    x, free = np.zeros(len(target)), np.zeros(len(target), bool)
-    for _ in range(3 * len(target)):
-        slope = target - gram @ x
-        slope[free] = -np.inf
-        k = int(slope.argmax())
-        if slope[k] <= 1e-9 * max(1.0, abs(target).max()):
+def combinations(sizes: np.ndarray, capacity: int) -> list[dict[int, int]]:
+    """For every size a the best filled of: a i times, b j times and c k times, b and c no longer than a. Longest a first, for they find the fewest partners."""
+    spread = np.unique(np.linspace(0, len(sizes) - 1, min(SECONDS, len(sizes))).astype(int))
+    out: dict[tuple, None] = {}
+    for a, size in reversed([*enumerate(sizes.tolist())]):
+        most = capacity // size
+        tried = []
+        for i in sorted({1, 2, most - 1, most} & set(range(1, most + 1))):
+            left = capacity - i * size
+            tried.append((left, ((size, i),)))
+            b = np.unique(np.append(spread[spread < a], a - 1)) if a else np.zeros(0, int)
+            b = b[sizes[b] <= left]
+            for j in (1, 2, None):
+                n = left // sizes[b] if j is None else np.full(len(b), j)
+                rest = left - n * sizes[b]
+                for k in (1, 2, 3, 5, 8):  # c is the longest that fits k times
+                    c = np.searchsorted(sizes[: a + 1], rest // k, "right") - 1
+                    ok = np.flatnonzero((rest >= 0) & (c >= 0) & (n > 0))
+                    space = rest[ok] - k * sizes[c[ok]]
+                    for x in np.argsort(space, kind="stable")[:2].tolist():
+                        o = ok[x]
+                        tried.append((int(space[x]), ((size, i), (int(sizes[b[o]]), int(n[o])), (int(sizes[c[o]]), k))))
+        tried.sort(key=lambda t: t[0])
+        for space, parts in [t for t in tried if t[0] <= WINDOW * capacity][:KEPT] or tried[:1]:
+            filling: dict[int, int] = {}
+            for s, n in parts:
+                filling[s] = filling.get(s, 0) + n
+            out[tuple(sorted(filling.items()))] = None
+    return [dict(f) for f in out]
+
+
+def nnls(columns: list[dict[int, int]], target: dict[int, int]) -> list[float]:
+    """x >= 0 that minimises |W (A x - b)| by coordinate descent; a column has few entries, so a step is a few sums. W is the length: what is left over of
+    short lengths finds a place anywhere."""
+    left = {k: float(v) for k, v in target.items()}
+    x = [0.0] * len(columns)
+    norm = [sum((m * s) ** 2 for s, m in c.items()) for c in columns]
+    for _ in range(SWEEPS):
+        moved = 0.0
+        for k, c in enumerate(columns):
+            step = max(-x[k], sum(m * s * s * left[s] for s, m in c.items()) / norm[k])
+            if step:
+                x[k] += step
+                for s, m in c.items():
+                    left[s] -= m * step
+                moved = max(moved, abs(step))
+        if moved < 0.05:
             break
-        free[k] = True
-        while True:
-            z = np.zeros(len(x))
-            z[free] = np.linalg.lstsq(gram[np.ix_(free, free)], target[free], rcond=None)[0]
-            if (z[free] > 0).all():
-                x = z
-                break
-            low = free & (z <= 0)
-            step = (x[low] / np.maximum(x[low] - z[low], 1e-300)).min()
-            x = np.maximum(0, x + step * (z - x))
-            free &= x > 1e-12
-            if not free.any():
-                break
     return x
 
 
@@ -73,23 +105,22 @@ def longest_first(left: dict[int, int], capacity: int) -> list[tuple[dict[int, i
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    greedy = longest_first(counts, capacity)
-    drawn = sorted(greedy, key=lambda f: -f[1])[:FILLINGS]
-    sizes = {s: i for i, s in enumerate(sorted(counts))}
-    a = np.zeros((len(sizes), len(drawn)))
-    for j, (filling, _) in enumerate(drawn):
-        for s, m in filling.items():
-            a[sizes[s], j] = m
-    x = nnls(a.T @ a, a.T @ np.array([counts[s] for s in sizes], float)) if drawn else []
-    left, out = dict(counts), []
-    for (filling, _), t in zip(drawn, x):
-        times = min(int(t), *(left[s] // m for s, m in filling.items()))
-        if times > 0:
-            out.append((filling, times))
-            for s, m in filling.items():
-                left[s] -= m * times
-    out += longest_first(left, capacity)
-    return min(out, greedy, key=lambda p: sum(t for _, t in p))
+    """(filling, times) until nothing is left."""
+    columns = combinations(np.array(sorted(counts)), capacity)
+    x = nnls(columns, counts)
+    best: list[tuple[dict[int, int], int]] = []
+    for share in ROUNDINGS:
+        left, out = dict(counts), []
+        for k in sorted(range(len(x)), key=lambda k: -x[k]):
+            times = min(int(x[k] * share), *(left[s] // m for s, m in columns[k].items()))
+            if times > 0:
+                out.append((columns[k], times))
+                for s, m in columns[k].items():
+                    left[s] -= m * times
+        out += longest_first(left, capacity)
+        if not best or sum(t for _, t in out) < sum(t for _, t in best):
+            best = out
+    return best
 
 
 def fill(sizes: DataFrame, capacity: int, work: Scratch) -> DataFrame:
@@ -97,7 +128,8 @@ def fill(sizes: DataFrame, capacity: int, work: Scratch) -> DataFrame:
     cut = F.expr(f"transform(sequence(0L, (n - 1) div {capacity}L), k -> struct(k as part, k * {capacity}L as first_token, least({capacity}L, n - k * {capacity}L) as tokens))")
     parts = sizes.select("id", F.explode(cut).alias("p")).select("id", "p.*")
     whole = parts.where(F.col("tokens") == capacity).withColumn("container_id", F.concat_ws("-", F.lit("full"), "id", "part"))
-    rest = parts.where(F.col("tokens") < capacity).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
+    rest = parts.where(F.col("tokens") < capacity)
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
     rest = work.keep(rest.withColumn("place", F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("id", "part")) - 1))
     held = rest.groupBy("tokens", "bucket").count().collect()
     base, counts = {}, {}

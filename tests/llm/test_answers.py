@@ -2,7 +2,6 @@ import pytest
 
 import __spark_entry__ as e
 from sparkloom.llm.answers import defect, defects
-from sparkloom.session import build
 
 PROMPT = "Explain why the second annotator hides the measured ranges in both languages."
 
@@ -19,8 +18,7 @@ def test_types(prompt, out, kind):
     assert defect(prompt, out) == kind
 
 
-def test_last_word_decides():
-    spark = build("local[4]", spark_sql_shuffle_partitions="8")
+def test_last_word_decides(spark):
     rows = [(f"x{k}", PROMPT, "The parser splits the ledger. The archive stores the wet ledger.") for k in range(5)]
     rows += [("cut", PROMPT, "The archive stores the"), ("word", PROMPT, "The archive stores the wet led"), ("mark", PROMPT, "The archive stores the wet ledger"), ("none", PROMPT, None), ("none", PROMPT, None)]
     got = defects(spark.createDataFrame(rows, "id string, p string, o string"), "id", "p", "o").collect()

@@ -1,15 +1,8 @@
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from sparkloom.llm import containers, mixing
 from sparkloom.plans.shared import Scratch
-from sparkloom.session import build
-
-
-@pytest.fixture(scope="module")
-def spark():
-    return build("local[4]", spark_sql_shuffle_partitions="8")
 
 
 def test_containers_hold_every_token_once(spark):
@@ -47,3 +40,18 @@ def test_registered_over_the_whole_table(spark):
         assert r.n == whole
         print(r.container, r.t / r.c / cap[r.container])
     e.queries()["p8_shares"](spark, e.SMOKE_DIR).show(20, False)
+
+
+def test_no_rows_no_containers(spark):
+    assert containers.fill(spark.createDataFrame([], "id long, n long"), 100, Scratch(spark, "t")).count() == 0
+    assert containers.plan({}, 100) == []
+
+
+def test_combinations_fit_and_plans_meet_the_histogram():
+    counts = {n: 1 + (n * 7) % 13 for n in range(3, 240, 2)}
+    got: dict[int, int] = {}
+    for filling, times in containers.plan(dict(counts), 256):
+        assert sum(s * m for s, m in filling.items()) <= 256
+        for s, m in filling.items():
+            got[s] = got.get(s, 0) + m * times
+    assert got == counts
