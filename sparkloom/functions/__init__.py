@@ -1 +1 @@
-
+"""Column expressions that the operators are built of."""

@@ -1,49 +1,51 @@
-"""Exact text deduplication: normalise, hash, keep the best sample of each group.
+"""Exact deduplication of texts and files: a key, its SHA-256, one kept sample a group.
 
-The best sample has the longest normalised text; within a group of equal texts all are as long, so the smallest id as a string is kept.
-Texts that are empty once normalised are in no group and are to be reviewed.
+The best sample has the largest quality (for texts: the length of the normalised text); ties go to the smallest id as a string.
+Rows whose key is empty or null are in no group and are to be reviewed. Groups are joined back so that one group may hold any share of the rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-import html
-import re
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkloom.functions.normalize import dedup_key
 from sparkloom.plans.hot import join_groups
 from sparkloom.plans.shared import Scratch
 
-_MARKS = re.compile(r"[，。！？；：“”‘’、,.!?;:\"'`~\-_=+*/\\|()\[\]{}<>]")
+
+def normalize_for_dedup(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with normalized_text, normalized_length and the issue of a text that is empty once normalised."""
+    out = df.withColumn("normalized_text", dedup_key(F.col(text)))
+    empty = F.col("normalized_text") == ""
+    return out.withColumn("normalized_length", F.length("normalized_text")).withColumn("issue", F.when(empty, "empty_text_after_normalize")).withColumn("action", F.when(empty, "review").otherwise("pending"))
 
 
-def normalize_text(text: str) -> str:
-    s = unicodedata.normalize("NFKC", html.unescape(text or ""))
-    s = re.sub(r"<[^>]+>", " ", s)
-    s = re.sub(r"https?://\S+", " ", s).lower()
-    s = _MARKS.sub(" ", s.replace("　", " "))
-    return re.sub(r"\s+", " ", s).strip()
+def hash_groups(df: DataFrame, id_col: str, key: Column, quality: Column) -> DataFrame:
+    """(id, hash, keep_id, group_size, action) of every row."""
+    kind = dict(df.dtypes)[id_col]
+    work = Scratch(df.sparkSession, "exact")
+    hashed = df.select(F.col(id_col).alias("id"), key.alias("key"), quality.cast("double").alias("q"))
+    rows = work.keep(hashed.select("id", F.when(F.length("key") > 0, F.sha2(F.col("key").cast("binary"), 256)).alias("hash"), "q"))
+    best = F.min_by(F.col("id").cast("string"), F.struct(-F.coalesce(F.col("q"), F.lit(0.0)), F.col("id").cast("string")))
+    groups = work.keep(rows.where("hash is not null").groupBy("hash").agg(best.alias("keep"), F.count(F.lit(1)).alias("n")))
+    held = join_groups(rows.where("hash is not null").drop("q"), groups, ["hash"], "n")
+    action = F.when(F.col("id").cast("string") == F.col("keep"), "keep").otherwise("remove")
+    out = held.select("id", "hash", F.col("keep").cast(kind).alias("keep_id"), F.col("n").alias("group_size"), action.alias("action"))
+    none = rows.where("hash is null").select("id", "hash", F.lit(None).cast(kind).alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit("review").alias("action"))
+    return out.unionByName(none)
 
 
 def exact_dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, keep_id, group_size, action) of every row; action: keep, remove or review."""
-    kind = dict(df.dtypes)[id_col]
+    rows = normalize_for_dedup(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return hash_groups(rows, "id", F.col("normalized_text"), F.col("normalized_length")).drop("hash")
 
-    def run(it):
-        for pdf in it:
-            norm = [normalize_text(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "hash": [hashlib.sha256(n.encode("utf-8", "surrogatepass")).hexdigest() if n else None for n in norm]})
 
-    work = Scratch(df.sparkSession, "exact")
-    rows = work.keep(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, hash string"))
-    groups = work.keep(rows.where("hash is not null").groupBy("hash").agg(F.min(F.col("id").cast("string")).alias("keep"), F.count(F.lit(1)).alias("n")))
-    held = join_groups(rows.where("hash is not null"), groups, ["hash"], "n")
-    action = F.when(F.col("id").cast("string") == F.col("keep"), "keep").otherwise("remove")
-    out = held.select("id", F.col("keep").cast(kind).alias("keep_id"), F.col("n").alias("group_size"), action.alias("action"))
-    return out.unionByName(rows.where("hash is null").select("id", F.lit(None).cast(kind).alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit("review").alias("action")))
+def hash_edges(df: DataFrame, id_col: str, key: Column, reason: str = "sha256") -> DataFrame:
+    """Star edges from the first id of each group to the others, score 1."""
+    groups = hash_groups(df, id_col, key, F.lit(0))
+    lo, hi = F.least(F.col("keep_id").cast("string"), F.col("id").cast("string")), F.greatest(F.col("keep_id").cast("string"), F.col("id").cast("string"))
+    return groups.where("hash is not null and id <> keep_id").select(lo.alias("left_id"), hi.alias("right_id"), F.lit(1.0).alias("score"), F.lit(reason).alias("reason"), F.lit("exact").alias("duplicate_type"), F.lit("exact_hash").alias("operator"))
 
 
 def text_dedup_exact(spark, sf_dir: str) -> DataFrame:

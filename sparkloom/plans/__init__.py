@@ -1 +1 @@
-
+"""Registered operators and queries, workflows, intermediate tables."""

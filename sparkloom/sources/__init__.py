@@ -1 +1 @@
-
+"""Reading into, and writing out of, the engine."""

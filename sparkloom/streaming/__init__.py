@@ -1 +1 @@
-
+"""The row-wise operators over streams."""
