@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 Operator = Callable[..., DataFrame]
 _OPERATORS: dict[str, Operator] = {}
+_LOADED: dict[str, list[str]] = {}
 
 
 def register(name: str, fn: Operator) -> Operator:
@@ -36,13 +37,16 @@ def names() -> list[str]:
 
 
 def load(path: str) -> list[str]:
-    """Register what a Python file lists in its OPERATORS (name to function); executors need the file too (addPyFile)."""
+    """Register what a Python file lists in its OPERATORS (name to function); executors need the file too (addPyFile). A file is loaded once."""
+    if path in _LOADED:
+        return _LOADED[path]
     spec = importlib.util.spec_from_file_location(re.sub(r"\W", "_", path), path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
     for name, fn in module.OPERATORS.items():
         register(name, fn)
-    return sorted(module.OPERATORS)
+    _LOADED[path] = sorted(module.OPERATORS)
+    return _LOADED[path]
 
 
 def row_operator(process, schema: str, setup=None, teardown=None) -> Operator:

@@ -94,10 +94,10 @@ def closure(wanted: list[str], needs: dict[str, list[str]]) -> list[str]:
 
 
 def run(spark: SparkSession, flow: dict, roots: list[str] | None = None) -> DataFrame:
+    for path in flow.get("custom_operators", []):
+        registry.load(within(path, roots) if roots else path)
     if wrong := validate(flow):
         raise ValueError("; ".join(wrong))
-    for path in flow.get("custom_operators", []):
-        registry.load(path)
     source = dict(flow["input"])
     path = source.pop("path", "")
     if roots and "://" not in path:
