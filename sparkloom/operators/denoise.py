@@ -48,13 +48,13 @@ def _plausible(text: str) -> float:
 
 
 def _reread(text: str) -> str:
-    best, top = text, _plausible(text) + 0.15
+    best, top = text, _plausible(text)
     for table, to in (("latin-1", "utf-8"), ("cp1252", "utf-8"), ("latin-1", "gb18030")):
         try:
             again = text.encode(table).decode(to)
         except UnicodeError:
             continue
-        if (p := _plausible(again)) >= top:
+        if (p := _plausible(again)) >= top + 0.15:
             best, top = again, p
     return best
 

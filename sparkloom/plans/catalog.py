@@ -205,19 +205,19 @@ def synthesis_gate(spark, d):
 
 
 def queries() -> dict:
-    flagged = lambda name, *cols, checks: lambda s, d: _eval(s, d, *checks).select("row_no", *cols)
+    flagged = lambda cols, *checks: lambda s, d: _eval(s, d, *checks).select("row_no", *cols())  # noqa: E731 - columns are made when the query runs
     has = lambda i: F.array_contains("issues", i).alias(i)
     return {
         "text_dedup_exact": exact.text_dedup_exact, "dedup_by_text": dedup_by_text, "edge_fusion": edge_fusion, "dedup_groups": dedup_groups, "best_samples": best_samples, "simhash_pairs": simhash, "jaccard_pairs": jaccard, "reranked_pairs": reranked,
         "cosine_pairs": cosine, "cosine_top": cosine_top, "resume_skip": resume,
-        "eval_schema": flagged("schema", "schema_valid", has("missing_id"), has("missing_text_field"), checks=("schema",)),
-        "eval_completeness": flagged("completeness", "completeness", has("empty_text"), has("missing_label"), checks=("completeness",)),
-        "eval_length": flagged("length", "text_length", has("too_short"), has("too_long"), checks=("length",)),
-        "eval_unicode": flagged("unicode", F.round("abnormal_char_ratio", 6).alias("abnormal_char_ratio"), has("abnormal_chars"), checks=("unicode",)),
-        "eval_top_char": flagged("low", F.round("top_char_share", 6).alias("top_char_share"), checks=("low_quality",)),
-        "eval_duplicates": flagged("dup", "duplicate_size", has("duplicate_text"), checks=("duplicates",)),
-        "eval_consecutive": flagged("runs", F.size("punctuation_runs").alias("runs"), "abnormal_runs", checks=("consecutive",)),
-        "eval_special": flagged("special", "control_characters", "invisible_characters", "residues", checks=("special",)),
+        "eval_schema": flagged(lambda: ["schema_valid", has("missing_id"), has("missing_text_field")], "schema"),
+        "eval_completeness": flagged(lambda: ["completeness", has("empty_text"), has("missing_label")], "completeness"),
+        "eval_length": flagged(lambda: ["text_length", has("too_short"), has("too_long")], "length"),
+        "eval_unicode": flagged(lambda: [F.round("abnormal_char_ratio", 6).alias("abnormal_char_ratio"), has("abnormal_chars")], "unicode"),
+        "eval_top_char": flagged(lambda: [F.round("top_char_share", 6).alias("top_char_share")], "low_quality"),
+        "eval_duplicates": flagged(lambda: ["duplicate_size", has("duplicate_text")], "duplicates"),
+        "eval_consecutive": flagged(lambda: [F.size("punctuation_runs").alias("runs"), "abnormal_runs"], "consecutive"),
+        "eval_special": flagged(lambda: ["control_characters", "invisible_characters", "residues"], "special"),
         "eval_pairing": eval_pairing, "eval_full": eval_full,
         "eval_score": lambda s, d: _eval(s, d, *PLAIN).select("row_no", joined("issues"), "score", "level", "action"),
         "eval_summary": lambda s, d: evaluate.summarize(_eval(s, d, *PLAIN)),
