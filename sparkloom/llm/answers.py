@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 from sparkloom.llm.quality import COMMON
 from sparkloom.plans.shared import Scratch
 
-LANGS = {k: frozenset(ws.split()) for k, ws in COMMON.items()}
+#: The languages that have a word among their common ones.
+SPOKEN: dict[str, tuple[str, ...]] = {}
+for _k, _ws in COMMON.items():
+    for _w in set(_ws.split()):
+        SPOKEN[_w] = (*SPOKEN.get(_w, ()), _k)
 #: Of the clauses a word stands in, the share it must end at least.
 ENDS = 0.08
 
@@ -68,14 +72,15 @@ def _is_empty(out: str | None) -> bool:
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    last = [0] * (len(b) + 1)
+    """Length of the longest common subsequence; a row of the table is the bits of one number."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
     for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        last = row
-    return last[-1]
+        if m := at.get(x):
+            row = (row + (row & m) | row - (row & m)) & full
+    return len(b) - row.bit_count()
 
 
 def _is_copied(prompt: str, out: str) -> bool:
@@ -108,11 +113,11 @@ def _is_refusal(out: str) -> bool:
 def language(s: str) -> tuple[str | None, dict[str, int]]:
     """The language, if it can be told, and the words that speak for each."""
     words = tokens(s)
-    score = {k: 0 for k in LANGS}
+    score = dict.fromkeys(COMMON, 0)
     for w in words:
-        parts = {w, *re.split("['’]", w)} if "'" in w or "’" in w else (w,)
-        for k, common in LANGS.items():
-            score[k] += any(x in common for x in parts)
+        spoken = {k for x in (w, *re.split("['’]", w)) for k in SPOKEN.get(x, ())} if "'" in w or "’" in w else SPOKEN.get(w, ())
+        for k in spoken:
+            score[k] += 1
     score["zh"] = sum(bool(_CJK.match(w)) for w in words) // 2
     best = sorted(score, key=lambda k: -score[k])
     return (best[0] if score[best[0]] > score[best[1]] else None), score
