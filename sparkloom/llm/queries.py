@@ -28,5 +28,12 @@ SELECT a AS record_id, least(a, min(b)) AS group_id FROM reach GROUP BY a
 """
 
 
+P4_FOUND = r"""
+WITH r AS (SELECT DISTINCT id, list_distinct(regexp_extract_all(lower(payload.text), '[\p{L}\p{N}]+')) AS w FROM dedup_input WHERE id IS NOT NULL AND payload.text IS NOT NULL),
+s AS (SELECT id, w, len(w) AS n FROM r WHERE len(w) > 0)
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) WHERE 17 * len(list_intersect(a.w, b.w)) >= 7 * (a.n + b.n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
