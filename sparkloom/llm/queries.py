@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 P1_FOUND = """
 WITH RECURSIVE member AS (
-  SELECT row_number() OVER () AS r, group_id AS g, list_distinct(list_filter(member_ids, x -> x IS NOT NULL)) AS m FROM dup_groups
+  SELECT row_number() OVER () AS r, group_id AS g, list_distinct([x FOR x IN member_ids IF x IS NOT NULL]) AS m FROM dup_groups
 ), head AS (SELECT r, g, list_min(m) AS h, m FROM member WHERE len(m) > 0),
 link AS (
   SELECT left_id AS a, right_id AS b FROM dup_edges WHERE left_id IS NOT NULL AND right_id IS NOT NULL
