@@ -37,12 +37,12 @@ def key(c: str) -> str:
 
 
 def listed(rules: list[tuple[str, str]]) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(n)} END" for n, c in rules) + "], lambda x: x IS NOT NULL)"
+    return "[x FOR x IN [" + ", ".join(f"CASE WHEN {c} THEN {q(n)} END" for n, c in rules) + "] IF x IS NOT NULL]"
 
 
 def cost(issues: str, table: dict[str, float], other: float) -> str:
     cases = " ".join(f"WHEN {q(k)} THEN {float(v)}" for k, v in table.items())
-    return f"coalesce(list_sum(list_transform({issues}, lambda x: CASE x {cases} ELSE {float(other)} END)), 0.0)"
+    return f"coalesce(list_sum([CASE x {cases} ELSE {float(other)} END FOR x IN {issues}]), 0.0)"
 
 
 BASE = f"base AS (SELECT *, coalesce(text, '') AS t, {strip("coalesce(text, '')")} = '' AS blank, id IS NULL OR {strip('id')} = '' AS no_id, label IS NULL OR {strip('label')} = '' AS no_label FROM text_dataset)"
@@ -51,8 +51,8 @@ RUNS = "".join(E.RUN_MARKS)
 ABNORMAL = f"CASE WHEN length(t) = 0 THEN 0.0 ELSE length({sub('t', f'[{SPACE}{CJK}{ALNUM}{PLAIN}]')})::DOUBLE / length(t) END"
 RUN_LIST = f"regexp_extract_all(t, {q(f'[{RUNS}]{{2,}}')})"
 RUN_BAD = (
-    f"len(list_filter({RUN_LIST}, lambda r: NOT list_contains([{', '.join(map(q, E.FINE_RUNS))}], r) AND (len(list_distinct(string_split(r, ''))) > 1"
-    " OR length(r) > CASE WHEN r[1] = '…' THEN 6 WHEN r[1] = '.' THEN 3 ELSE 2 END)))"
+    f"len([r FOR r IN {RUN_LIST} IF NOT list_contains([{', '.join(map(q, E.FINE_RUNS))}], r) AND (len(list_distinct(string_split(r, ''))) > 1"
+    " OR length(r) > CASE WHEN r[1] = '…' THEN 6 WHEN r[1] = '.' THEN 3 ELSE 2 END)])"
 )
 CONTROL = hits("t", r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]")
 HIDDEN = hits("t", f"[{E.INVISIBLE}]|\\p{{Cf}}")
@@ -75,13 +75,13 @@ c AS (SELECT *, {strip('t')} = '' AS blank, greatest(0.0, 1 - least(g * 0.08::DO
   CASE WHEN {hits('t', '[。.!！?？;；]')} > 0 OR length(t) < 80 THEN 0.9::DOUBLE ELSE 0.72::DOUBLE END AS k0 FROM r),
 m AS (SELECT *, CASE WHEN blank THEN 0.0 ELSE c0 END AS coherence, CASE WHEN blank THEN 0.0 ELSE k0 END AS completeness, CASE WHEN blank THEN 0.0 ELSE least(1.0, round(c0 * 0.65::DOUBLE + k0 * 0.35::DOUBLE, 4)) END AS semantic FROM c)"""
 DENSITY = f"{USEFUL}::DOUBLE / greatest(length(t), 1)"
-UNIQUE = f"len(list_filter(list_distinct(string_split({sub('t', f'[^{WORD}]')}, '')), lambda x: x <> ''))::DOUBLE / greatest({USEFUL}, 1)"
+UNIQUE = f"len([x FOR x IN list_distinct(string_split({sub('t', f'[^{WORD}]')}, '')) IF x <> ''])::DOUBLE / greatest({USEFUL}, 1)"
 MD = "t"
 for _pattern, _to in MARKDOWN:
     MD = sub(MD, _pattern.replace("(?md)", "(?m)"), _to.replace("$1", "\\1"))
 EDGES = "e AS (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, coalesce(score, 0.0) AS score, coalesce(reason, '') AS reason, coalesce(duplicate_type, '') AS kind, coalesce(operator, '') AS op FROM dup_edges WHERE left_id IS NOT NULL AND right_id IS NOT NULL AND left_id <> right_id)"
 STAGE = "coalesce(list_position(['exact_hash', 'simhash_deduplicator', 'minhash_lsh_deduplicator', 'ann_recall', 'cross_encoder_rerank'], op), 0)"
-KEEP_ORDER = "list_filter({0}, lambda x, k: list_position({0}, x) = k)"
+KEEP_ORDER = "[{0}[k] FOR k IN range(1, len({0}) + 1) IF list_position({0}, {0}[k]) = k]"
 
 
 def components(where: str) -> str:
@@ -96,11 +96,11 @@ num AS (SELECT root, n, row_number() OVER (ORDER BY first NULLS FIRST, root) AS
 
 def sql() -> dict[str, str]:
     k = key("text")
-    shingle = "CASE WHEN length(b) <= 5 THEN [b] ELSE list_distinct(list_transform(range(1, length(b) - 3), lambda i: substring(b, i, 5))) END"
+    shingle = "CASE WHEN length(b) <= 5 THEN [b] ELSE list_distinct([substring(b, i, 5) FOR i IN range(1, length(b) - 3)]) END"
     rows = "SELECT row_no AS id, row_no AS s FROM text_dataset"
     low, high = "greatest(least(s + 1 + 10, 4000), 12)", "least(s + 2 + 5, 900)"
     first = f"regexp_extract({squeeze("coalesce(text, '')")}, '^[^。！？.!?]*[。！？.!?]?', 0)"
-    dims = {n: f"greatest(0.0, 100 - coalesce(sum(len(list_filter(l, lambda x: list_contains([{', '.join(map(q, i))}], x)))), 0) / greatest(count(*), 1) * 100)" for n, i, _ in E.DIMENSIONS}
+    dims = {n: f"greatest(0.0, 100 - coalesce(sum(len([x FOR x IN l IF list_contains([{', '.join(map(q, i))}], x)])), 0) / greatest(count(*), 1) * 100)" for n, i, _ in E.DIMENSIONS}
     mean = " + ".join(f"{dims[n]} * {w}" for n, _, w in E.DIMENSIONS)
     han, latin = hits("t", f"[{CJK}]"), hits("t", "[A-Za-z]")
     doc_rules = [
@@ -109,7 +109,7 @@ def sql() -> dict[str, str]:
     ]
     return {
         "dedup_by_text": f"WITH k AS (SELECT doc_id, {k} AS k FROM documents), g AS (SELECT *, count(*) OVER w AS n, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id::VARCHAR) AS f FROM k WINDOW w AS (PARTITION BY k)) SELECT doc_id, CASE WHEN k <> '' THEN f END AS keep_id, CASE WHEN k = '' THEN 0 ELSE n END AS group_size, CASE WHEN k = '' THEN 'review' WHEN doc_id = f THEN 'keep' ELSE 'remove' END AS action FROM g",
-        "edge_fusion": f"WITH {EDGES}, u AS (SELECT a, b, reason, kind, op, {STAGE} AS o, max(least(1.0, score)) AS score FROM e GROUP BY ALL), l AS (SELECT a, b, round(max(score), 6) AS score, list({{'o': o, 'r': reason, 'p': op, 'k': kind}} ORDER BY o, reason, op, kind) AS l FROM u GROUP BY a, b), x AS (SELECT *, list_transform(l, lambda z: z.r) AS rs, list_transform(l, lambda z: z.p) AS ps, list_transform(l, lambda z: z.k) AS ks FROM l) SELECT a AS left_id, b AS right_id, score, array_to_string({KEEP_ORDER.format('rs')}, ',') AS reasons, array_to_string({KEEP_ORDER.format('ps')}, ',') AS operators, CASE WHEN list_contains(ks, 'exact') THEN 'exact' ELSE ks[1] END AS duplicate_type FROM x",
+        "edge_fusion": f"WITH {EDGES}, u AS (SELECT a, b, reason, kind, op, {STAGE} AS o, max(least(1.0, score)) AS score FROM e GROUP BY ALL), l AS (SELECT a, b, round(max(score), 6) AS score, list({{'o': o, 'r': reason, 'p': op, 'k': kind}} ORDER BY o, reason, op, kind) AS l FROM u GROUP BY a, b), x AS (SELECT *, [z.r FOR z IN l] AS rs, [z.p FOR z IN l] AS ps, [z.k FOR z IN l] AS ks FROM l) SELECT a AS left_id, b AS right_id, score, array_to_string({KEEP_ORDER.format('rs')}, ',') AS reasons, array_to_string({KEEP_ORDER.format('ps')}, ',') AS operators, CASE WHEN list_contains(ks, 'exact') THEN 'exact' ELSE ks[1] END AS duplicate_type FROM x",
         "dedup_groups": f"{components('score >= 0')}{group_ids()} SELECT 'dup_group_' || lpad(k::VARCHAR, greatest(6, length(k::VARCHAR))::INTEGER, '0') AS duplicate_group_id, id, n AS group_size FROM root JOIN num USING (root)",
         "best_samples": f"{components('round(score, 6) >= 0.5')}{group_ids()}, z AS (SELECT id, max(length(coalesce(payload.image_path, payload.audio_path, payload.video_path, ''))) AS size FROM media_input GROUP BY id), m AS (SELECT r.root, r.id, coalesce(z.size, 0) AS size FROM root r LEFT JOIN z USING (id)), f AS (SELECT root, first(id ORDER BY size DESC, id) AS keep_id, count(*) AS members FROM m GROUP BY root) SELECT 'dup_group_' || lpad(k::VARCHAR, greatest(6, length(k::VARCHAR))::INTEGER, '0') AS duplicate_group_id, keep_id, members, members - 1 AS removed FROM f JOIN num USING (root)",
         "jaccard_pairs": f"WITH t AS (SELECT DISTINCT id, {k} AS k FROM text_sample), m AS (SELECT k, min(id) AS id FROM t WHERE length(k) >= 40 GROUP BY k), b AS (SELECT id, {sub('k', f'[{SPACE}]')} AS b FROM m), g AS (SELECT id, {shingle} AS g FROM b), p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.g, y.g)) AS i, len(x.g) + len(y.g) AS n FROM g x JOIN g y ON x.id < y.id WHERE least(len(x.g), len(y.g)) >= 0.8 * greatest(len(x.g), len(y.g))) SELECT a AS left_id, b AS right_id, round(i::DOUBLE / (n - i), 6) AS score, 'minhash_jaccard>=0.8' AS reason, 'near' AS duplicate_type, 'minhash_lsh_deduplicator' AS operator FROM p WHERE i::DOUBLE / (n - i) >= 0.8 UNION ALL SELECT m.id, t.id, 1.0, 'minhash_jaccard>=0.8', 'near', 'minhash_lsh_deduplicator' FROM m JOIN t USING (k) WHERE t.id <> m.id",
@@ -130,7 +130,7 @@ def sql() -> dict[str, str]:
         "eval_worst": f"{SCORED} SELECT row_no, score FROM g WHERE score < 60 ORDER BY score, row_no LIMIT 20",
         "modality_counts": "SELECT modality AS value, count(*) AS n FROM media_input GROUP BY modality",
         "denoise_markdown": f"WITH {DOCS} SELECT doc_id, {squeeze(MD)} AS text FROM d",
-        "denoise_repetition": f"WITH {DOCS}, w AS (SELECT doc_id, {WORDS} AS w FROM d) SELECT doc_id, round(CASE WHEN len(w) < 6 THEN 0.0 ELSE 1 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))::DOUBLE / (len(w) - 2) END, 6) AS triple_repetition FROM w",
+        "denoise_repetition": f"WITH {DOCS}, w AS (SELECT doc_id, {WORDS} AS w FROM d) SELECT doc_id, round(CASE WHEN len(w) < 6 THEN 0.0 ELSE 1 - len(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]))::DOUBLE / (len(w) - 2) END, 6) AS triple_repetition FROM w",
         "denoise_density": f"WITH {DOCS} SELECT doc_id, round({DENSITY}, 6) AS info_density, round({UNIQUE}, 6) AS unique_char_ratio FROM d",
         "denoise_semantic": f"WITH {DOCS}, {SEMANTIC} SELECT doc_id, round(coherence, 6) AS coherence, completeness, round(semantic, 3) AS score FROM m",
         "denoise_gate": f"WITH {DOCS}, {SEMANTIC}, h AS (SELECT *, {han} AS han, {latin} AS latin FROM m), y AS (SELECT *, CASE WHEN han + latin < 4 THEN 'unknown' WHEN least(han, latin)::DOUBLE / greatest(han + latin, 1) >= 0.12 THEN 'mixed' WHEN han >= latin THEN 'zh' ELSE 'en' END AS language FROM h), i AS (SELECT *, {listed(doc_rules)} AS l FROM y), z AS (SELECT *, round(greatest(0.0, least(1.0, least(1 - {cost('l', tables.TEXT_PENALTIES, tables.TEXT_PENALTY_OTHER)}, semantic))), 4) AS quality_score FROM i) SELECT doc_id, language, array_to_string(l, ',') AS issues, floor(quality_score * 100)::BIGINT AS quality_score, CASE WHEN list_has_any(l, [{', '.join(map(q, tables.HARD_FAIL))}]) THEN 'drop' WHEN quality_score >= 0.75 THEN 'keep' WHEN quality_score >= 0.55 THEN 'review' ELSE 'drop' END AS action FROM z",
